@@ -10,8 +10,9 @@ HOT_SHARE = 1000
 HOT_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, total: int) -> list[Row]:
-    """(key, n) of the keys that hold at least total / HOT_SHARE rows of df: never more than HOT_SHARE rows, if `total` counts df."""
+def hot_keys(df: DataFrame, key: str, total: int | None = None) -> list[Row]:
+    """(key, n) of the keys that hold at least total / HOT_SHARE rows of df: never more than HOT_SHARE rows, if `total` counts df (by default it is counted)."""
+    total = df.count() if total is None else total
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
     return counts.filter((F.col("n") >= max(HOT_ROWS, total // HOT_SHARE)) & F.col(key).isNotNull()).collect()
 
