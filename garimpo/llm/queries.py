@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import canonical_values, components
+from garimpo.llm import canonical_values, components, listings
 from garimpo.sources.tables import table
 
 
@@ -15,6 +15,22 @@ def brand_reference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "brand_reference").select(F.col("brandid").alias("id"), F.col("brandname").alias("name"), F.col("shortname").alias("short"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "normalized_products", "id", "originaltitle", "brand", "model").withColumnRenamed("originaltitle", "title")
+    return listings.groups(df, brand_reference(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return listings.pairs(_items(spark, d))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: the smallest id of its item's listings for every listing with an item."""
+    members = _items(spark, d)
+    least = members.groupBy("item").agg(F.min("id").alias("groupid"), F.count("*").alias("members"))
+    return members.join(least, "item").select("id", "groupid", "members")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_values.map_rows(table(spark, d, "normalized_products", "id", "brand"), "id", "brand", brand_reference(spark, d), "brandid")
 
@@ -33,6 +49,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p7_found": p7_found,
