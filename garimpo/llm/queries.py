@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import canonical_values, components, listings
+from garimpo.llm import canonical_values, components, hash_forest, listings, product_numbers
 from garimpo.sources.tables import table
 
 
@@ -43,6 +43,12 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(named, "value").select("value", "n").filter(F.regexp_replace("value", r"[\s ​]+", "") != "")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "raw_products", "id", "provider", "providerproductid", "url")
+    same = product_numbers.identities(F.col("provider"), F.col("providerproductid"), F.col("url"))
+    return hash_forest.repeated_rows(df.select("id", same.alias("identities")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "comparisons", "leftid", "rightid", "verdict")
     return components.connected_groups(df.filter(components.positive(F.col("verdict"))), "leftid", "rightid")
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p5_found": p5_found,
     "p7_found": p7_found,
 }
 
@@ -73,6 +80,15 @@ _MAPPED = f"""
     m AS (SELECT brand, CASE WHEN count(*) = 1 THEN min(brandid) ELSE -1 END AS brandid FROM y WHERE dist = least GROUP BY brand)"""
 
 SQL: dict[str, str] = {
+    "p5_found": """
+    WITH u AS (SELECT DISTINCT id, provider, providerproductid AS pid,
+                 lower(trim(CASE WHEN regexp_matches(url, '[?&]to=') THEN url_decode(regexp_extract(url, '[?&]to=([^&#\\s]+)', 1)) ELSE url END)) AS a FROM raw_products),
+    n AS (SELECT id, provider, nullif(ltrim(regexp_replace(pid, '[^0-9]', '', 'g'), '0'), '') AS x,
+                 nullif(ltrim(coalesce(nullif(regexp_extract(a, '[?&]id=([0-9]{7,})', 1), ''),
+                                       regexp_extract(regexp_replace(a, '[?#].*$', ''), '[/-]p?([0-9]{7,})([^a-z0-9]|$)', 1)), '0'), '') AS y FROM u),
+    k AS (SELECT id, provider, x AS num FROM n WHERE x IS NOT NULL UNION SELECT id, provider, y FROM n WHERE y IS NOT NULL),
+    f AS (SELECT provider, num, min(id) AS first FROM k GROUP BY ALL)
+    SELECT DISTINCT k.id FROM k JOIN f ON k.provider = f.provider AND k.num = f.num WHERE f.first < k.id""",
     "p3_found": f"""{_MAPPED}
     SELECT n.id, coalesce(m.brandid, -1)::INT AS brandid
     FROM normalized_products n JOIN v ON n.brand = v.brand LEFT JOIN m ON n.brand = m.brand
