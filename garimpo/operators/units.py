@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions.text import single_spaced
+
 # Factors to bytes of unit spellings; units are decimal unless written as binary.
 BYTES = {
     "k": 10**3, "kb": 10**3, "m": 10**6, "mb": 10**6, "mega": 10**6, "megas": 10**6, "megabyte": 10**6, "megabytes": 10**6,
@@ -35,13 +37,13 @@ NEAR = 0.2
 
 _UNIT = r"([kmgt]i?b|[kmgt]ega(?:byte)?s?|tera(?:byte)?s?|giga(?:byte)?s?|[kmgt])"
 _NUM = r"(\d+(?:[.,]\d+)*)"
-_WIDE = "０１２３４５６７８９，．＄Ｒ×    　﻿"
-_PLAIN = "0123456789,.$Rx      "
+_WIDE = "０１２３４５６７８９，．＄Ｒ×"
+_PLAIN = "0123456789,.$Rx"
 
 
 def plain(text: Column) -> Column:
     """Lower case, with wide digits, multiplication signs and odd spaces made ASCII."""
-    return F.trim(F.lower(F.translate(F.translate(text, _WIDE, _PLAIN), "\t\r\n​", "   ")))
+    return F.lower(single_spaced(F.translate(text, _WIDE, _PLAIN)))
 
 
 def _get(text: Column, pattern: str, group: int = 1) -> Column:
