@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions.text import is_blank
 from garimpo.operators.skew import hot_keys, lookup
 
 # Letters that stand for others (accents, look-alikes of other scripts, digits and signs used as letters).
@@ -35,7 +36,7 @@ def bare_sql(value: str, spark: bool = True) -> str:
     """SQL for a value without case, accents, look-alikes, invisible characters and what sellers write around a name."""
     every = "" if spark else ", 'g'"
     x = f"lower({value})"
-    x = f"regexp_replace({x}, '[​‌‍⁠﻿­®™©̀-ͯ]', ''{every})"
+    x = f"regexp_replace({x}, '[\u00ad\u2000-\u200f\u2060\ufeff\u2122\u00ae\u00a9\u0300-\u036f]', ''{every})"
     for old, new in (ACCENTED, LOOKALIKE, LEET):
         x = f"translate({x}, '{old}', '{new}')"
     x = f"trim(regexp_replace({x}, '[^a-z0-9&().:-]+', ' '{every}))"
@@ -102,7 +103,7 @@ def map_rows(rows: DataFrame, id_column: str, column: str, reference: DataFrame,
 
     Blank is null, empty or white space only. Values held by many rows (a third of all, say) are spread by `lookup`.
     """
-    filled = rows.select(id_column, F.col(column).alias("value")).filter(F.regexp_replace(F.coalesce(F.col("value"), F.lit("")), r"[\s ​]+", "") != "")
+    filled = rows.select(id_column, F.col(column).alias("value")).filter(~is_blank(F.col("value")))
     filled = filled.join(F.broadcast(reference.select(F.col("name").alias("value"))), "value", "left_anti")
     mapped = map_values(filled, reference, none).select("value", F.col("id").alias(out))
     hot = hot_keys(filled, "value")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions.text import single_spaced
 from garimpo.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, lookup
 from garimpo.session import cut
 
@@ -71,5 +72,5 @@ def _relabel(edges: DataFrame, end: str, mapping: DataFrame, hot: list) -> DataF
 
 def positive(verdict: Column, accepted: tuple[str, ...] = ("IDENTICAL", "LIKELY_IDENTICAL")) -> Column:
     """Whether a verdict is one of `accepted`, whatever its letter case, surrounding spaces and separators; null and blank are not."""
-    form = F.regexp_replace(F.trim(F.upper(F.regexp_replace(verdict, r"[\s ]+", " "))), r"[^A-Z]+", "_")
+    form = F.regexp_replace(single_spaced(F.upper(verdict)), r"[^A-Z]+", "_")
     return F.coalesce(form.isin(*accepted), F.lit(False))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import canonical_values, components, hash_forest, listings, product_numbers
+from garimpo.functions.text import is_blank
+from garimpo.llm import canonical_values, components, hash_forest, listings, product_numbers, residue
 from garimpo.sources.tables import table
 
 
@@ -40,7 +41,7 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "normalized_products", "id", "brand")
     named = canonical_values.map_values(rows.select(F.col("brand").alias("value")), brand_reference(spark, d)).filter(F.col("id") == -1)
     counts = rows.groupBy(F.col("brand").alias("value")).agg(F.count("*").alias("n"))
-    return counts.join(named, "value").select("value", "n").filter(F.regexp_replace("value", r"[\s ​]+", "") != "")
+    return counts.join(named, "value").select("value", "n").filter(~is_blank(F.col("value")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +50,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return hash_forest.repeated_rows(df.select("id", same.alias("identities")))
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "raw_products", "id", "provider", "title"), "provider", "title")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).select("id")
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Records with residue, by kind."""
+    return _residue(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "comparisons", "leftid", "rightid", "verdict")
     return components.connected_groups(df.filter(components.positive(F.col("verdict"))), "leftid", "rightid")
@@ -60,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_kinds": p6_kinds,
     "p7_found": p7_found,
 }
 
@@ -67,7 +83,7 @@ _BARE = canonical_values.bare_sql("brand", spark=False)
 _NAME = canonical_values.bare_sql("brandname", spark=False)
 _SHORT = canonical_values.bare_sql("shortname", spark=False)
 _MAPPED = f"""
-    WITH v AS (SELECT brand, {_BARE} AS bare FROM (SELECT DISTINCT brand FROM normalized_products WHERE regexp_replace(brand, '[\\s ​]+', '', 'g') <> '')),
+    WITH v AS (SELECT brand, {_BARE} AS bare FROM (SELECT DISTINCT brand FROM normalized_products WHERE regexp_replace(brand, '[\s\u00a0\u200b]+', '', 'g') <> '')),
     r AS (SELECT brandid, {_NAME} AS bare, {_SHORT} AS short FROM brand_reference),
     f AS (SELECT *, replace(bare, ' ', '') AS f0, array_to_string(list_sort(string_split(bare, ' ')), '') AS f1 FROM v),
     g AS (SELECT *, replace(bare, ' ', '') AS g0, array_to_string(list_sort(string_split(bare, ' ')), '') AS g1 FROM r),
