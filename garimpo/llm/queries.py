@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import is_blank
-from garimpo.llm import canonical_values, components, hash_forest, listings, product_numbers, residue
+from garimpo.llm import canonical_values, components, hash_forest, leakage, listings, mixing, product_numbers, reading, residue
+from garimpo.session import cut
 from garimpo.sources.tables import table
 
 
@@ -68,6 +69,47 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(df.filter(components.positive(F.col("verdict"))), "leftid", "rightid")
 
 
+def p8_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with the field it is from and the words of the longest common run."""
+    return leakage.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "prompt", "answer"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_runs(spark, d).select("doc_id", "item_id").distinct()
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut(mixing.token_counts(table(spark, d, "documents", "doc_id", "source", "text")))
+    budget = cut(mixing.budgets(sized, table(spark, d, "mix_targets")))
+    return mixing.draw(sized, budget), budget
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents and how often each is used."""
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.shares(*_mixture(spark, d))
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return cut(reading.measures(table(spark, d, "documents", "doc_id", "text")))
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document."""
+    measured = _measured(spark, d)
+    return reading.levels(measured, reading.fit(measured, table(spark, d, "reading_labels")))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and reading level."""
+    source = table(spark, d, "documents", "doc_id", "source")
+    return p10_levels(spark, d).join(source, "doc_id").groupBy("source", "readinglevel").agg(F.count("*").alias("documents"), F.avg("wordspersentence").alias("wordspersentence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
@@ -77,6 +119,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_kinds": p6_kinds,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_runs": p8_runs,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_levels": p10_levels,
+    "p10_profile": p10_profile,
 }
 
 _BARE = canonical_values.bare_sql("brand", spark=False)
