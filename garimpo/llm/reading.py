@@ -1,21 +1,22 @@
 """Reading level: share of unfamiliar words and length of sentences, as in familiar-word formulas.
 
 Familiar words are those of high document frequency in the corpus itself, one list per language. A document's level is
-a linear function of the share of words outside the list and of the average words in a sentence; the coefficients are
-least squares over graded documents, from sums that are aggregated over all grades (nothing is sampled or collected).
+a linear function of the share of words outside the list and of the logarithm of the average words in a sentence. The
+coefficients, and which of a few list lengths is used, are least squares over graded documents, from sums that are
+aggregated over all grades (nothing is sampled or collected).
 Code, links and markup are taken out before words and sentences are counted.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimpo.session import cut
 
-#: Words in a language's list of familiar words, by document frequency.
-FAMILIAR = 400
+#: Lengths of a language's list of familiar words, by document frequency, that the grades choose from.
+FAMILIAR = (60, 100, 160, 200, 250, 300, 400)
 # Frequent function words that tell the two languages apart.
 PORTUGUESE = ("o", "a", "de", "que", "não", "um", "uma", "os", "as", "do", "da", "em", "no", "na", "com", "para", "por", "se", "esse", "essa", "aquele", "aquela", "ele", "ela", "foi", "ficou")
 ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "with", "this", "we", "they", "are", "not", "be", "at", "by")
@@ -35,8 +36,8 @@ def prose(text: Column) -> Column:
     x = F.regexp_replace(x, r"&[#\w]{2,8};", " ")
     x = F.regexp_replace(x, r"(?i)\b(?:https?://|www\.)\S+", " ")
     x = F.regexp_replace(x, r"(?m)^[ \t]*(?:>+ ?)+", "")
-    # Lines that look like code rather than prose: they end or are built like statements.
-    return F.regexp_replace(x, r"(?m)^.*(?:[;{}]\s*$|=>|\$\(|^\s*(?:export|import|def|class|return|SELECT|FROM|JOIN|WHERE|GROUP BY|ORDER BY)\b|\w+\(\w*\)|\w+ ?[=!]= ?\w+).*$", "")
+    # Lines that are built like statements or commands rather than prose.
+    return F.regexp_replace(x, r"(?m)^.*(?:[{}]\s*$|=>|\$\(|\);\s*$|^\s*(?:\./|export \w+=|import \w|def \w+\(|class \w+[:(]|return \w+;|tar x|cat \S+\.|SELECT |FROM \w+$|JOIN |WHERE |GROUP BY|ORDER BY)|\w+\(\w*\)|\w+ ?[=!]= ?\w+).*$", "")
 
 
 def word_array(text: Column) -> Column:
@@ -44,10 +45,11 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*"), F.lit(0))
 
 
-def measures(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", familiar: int = FAMILIAR) -> DataFrame:
+def measures(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", familiar: tuple[int, ...] = FAMILIAR) -> DataFrame:
     """(doc_id, language, words, sentences, unfamiliar, wordspersentence) of each document; rows are kept one to one.
 
-    Documents without words have 0 words and null ratios. Equal document frequencies at the end of a list are ordered by word.
+    `unfamiliar` has the share of words outside the list for each length in `familiar`. Documents without words have 0 words
+    and null ratios. Equal document frequencies at the end of a list are ordered by word.
     """
     plain = documents.select(F.col(doc_id).alias("doc_id"), prose(F.col(text)).alias("t"))
     ws = word_array(F.col("t"))
@@ -56,34 +58,44 @@ def measures(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", f
     count = lambda fixed: F.size(F.filter("w", lambda x: x.isin(*fixed)))
     df = cut(df.withColumn("language", F.when(count(PORTUGUESE) >= count(ENGLISH), "pt").otherwise("en")))
     frequency = df.select("language", F.explode(F.array_distinct("w")).alias("word")).groupBy("language", "word").agg(F.count("*").alias("df"))
-    # At most `familiar` words for each of two languages: bounded, whatever the corpus.
-    top = lambda language: frequency.filter(F.col("language") == language).orderBy(F.desc("df"), "word").limit(familiar)
-    familiar_words = top("pt").unionByName(top("en")).select("language", "word", F.lit(1).alias("known"))
+    # At most max(familiar) words for each of two languages: bounded, whatever the corpus, and ranked on so few rows only.
+    top = lambda language: frequency.filter(F.col("language") == language).orderBy(F.desc("df"), "word").limit(max(familiar))
+    few = top("pt").unionByName(top("en"))
+    ranked = few.select("language", "word", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("df"), "word")).alias("rank"))
     word = df.select("row", "language", F.explode("w").alias("word"))
-    counted = word.join(F.broadcast(familiar_words), ["language", "word"], "left").groupBy("row").agg(F.count("*").alias("words"), F.count("known").alias("familiar"))
-    out = df.select("row", "doc_id", "language", "sentences").join(counted, "row", "left").fillna(0, ["words", "familiar"])
-    share = F.try_divide(F.col("words") - F.col("familiar"), F.col("words"))
+    known = [F.count_if(F.col("rank") <= n).alias(f"familiar{n}") for n in familiar]
+    counted = word.join(F.broadcast(ranked), ["language", "word"], "left").groupBy("row").agg(F.count("*").alias("words"), *known)
+    out = df.select("row", "doc_id", "language", "sentences").join(counted, "row", "left").fillna(0, ["words"])
+    share = F.array(*[F.try_divide(F.col("words") - F.col(f"familiar{n}"), F.col("words")) for n in familiar])
     return out.select("doc_id", "language", "words", "sentences", share.alias("unfamiliar"), F.try_divide("words", "sentences").alias("wordspersentence"))
 
 
-_TERMS = ("one", "unfamiliar", "wordspersentence")
+def fit(measured: DataFrame, grades: DataFrame, label: str = "readinglevel", familiar: tuple[int, ...] = FAMILIAR) -> tuple[int, list[float]]:
+    """Place of the best list length in `familiar`, and coefficients (constant, unfamiliar share, log words per sentence).
 
-
-def fit(measured: DataFrame, grades: DataFrame, label: str = "readinglevel") -> list[float]:
-    """Least-squares coefficients (constant, unfamiliar share, words per sentence) over all grades that aren't null.
-
-    Documents graded twice count twice. With too few or uniform grades the solution of least norm is taken.
+    All grades that aren't null count; documents graded twice count twice. With too few or uniform grades the solution of
+    least norm is taken; without any the level is 0 + 0 + 0.
     """
-    df = measured.filter(F.col("words") > 0).join(grades.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")), "doc_id").withColumn("one", F.lit(1.0))
-    pairs = [(a, b) for i, a in enumerate(_TERMS) for b in _TERMS[i:]]
-    sums = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs], *[F.sum(F.col(a) * F.col("y")).alias(f"{a}*y") for a in _TERMS]).first()
-    xx = np.array([[sums[f"{a}*{b}" if (a, b) in pairs else f"{b}*{a}"] or 0.0 for b in _TERMS] for a in _TERMS])
-    xy = np.array([sums[f"{a}*y"] or 0.0 for a in _TERMS])
-    return [float(x) for x in np.linalg.lstsq(xx, xy, rcond=None)[0]]
-
-
-def levels(measured: DataFrame, coefficients: list[float]) -> DataFrame:
-    """measured with `score` (linear) and `readinglevel` (1 easiest to 5 hardest); both null for documents without words."""
-    one, unfamiliar, length = coefficients
-    score = F.lit(one) + F.lit(unfamiliar) * F.col("unfamiliar") + F.lit(length) * F.col("wordspersentence")
-    return measured.withColumn("score", score).withColumn("readinglevel", F.greatest(F.least(F.floor(F.col("score") + 0.5), F.lit(5)), F.lit(1)).cast("int"))
+    y = grades.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    df = measured.filter(F.col("words") > 0).join(y, "doc_id").withColumn("length", F.log("wordspersentence"))
+    terms = lambda k: {"one": F.lit(1.0), "share": F.col("unfamiliar")[k], "length": F.col("length"), "y": F.col("y")}
+    products = [(k, a, b) for k in range(len(familiar)) for a in terms(k) for b in terms(k)]
+    sums = df.agg(*[F.sum(terms(k)[a] * terms(k)[b]).alias(f"{k}{a}{b}") for k, a, b in products]).first()
+    best: tuple[float, int, list[float]] | None = None
+    for k in range(len(familiar)):
+        names = ("one", "share", "length")
+        xx = np.array([[sums[f"{k}{a}{b}"] or 0.0 for b in names] for a in names])
+        xy = np.array([sums[f"{k}{a}y"] or 0.0 for a in names])
+        c = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        error = (sums[f"{k}yy"] or 0.0) - 2 * c @ xy + c @ xx @ c
+        if best is None or error < best[0]:
+            best = (error, k, [float(v) for v in c])
+    return best[1], best[2]
+
+
+def levels(measured: DataFrame, fitted: tuple[int, list[float]]) -> DataFrame:
+    """measured with `unfamiliar` of the chosen list, `score` (linear) and `readinglevel` (1 easiest to 5 hardest); null without words."""
+    k, (one, share, length) = fitted
+    score = F.lit(one) + F.lit(share) * F.col("unfamiliar") + F.lit(length) * F.log("wordspersentence")
+    df = measured.withColumn("unfamiliar", F.col("unfamiliar")[k]).withColumn("score", score)
+    return df.withColumn("readinglevel", F.when(F.col("score").isNotNull(), F.greatest(F.least(F.floor(F.col("score") + 0.5), F.lit(5)), F.lit(1))).cast("int"))
