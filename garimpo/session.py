@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there: later steps survive the loss of executors and don't replay it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it from there.
+
+    Later steps survive the loss of executors and don't replay what led to df. A table rather than checkpoint(): it comes
+    with statistics from its files, and without the constraints of the plan, which multiply from round to round in
+    iterative operators until the optimiser drowns in them.
+    """
+    at = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
