@@ -15,11 +15,12 @@ Everything is built-in column expressions, one pass over the table, no exchange.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions.edges import let
 from garimpo.functions.text import single_spaced
 
 # Factors to bytes of unit spellings; units are decimal unless written as binary.
@@ -64,11 +65,6 @@ def as_grouped(number: Column) -> Column:
     return F.when(F.regexp_like(number, F.lit(r"^[1-9]\d{0,2}(\.\d{3})+$|^[1-9]\d{0,2}(,\d{3})+$|^[1-9]\d{0,2}( \d{3})+$")), F.regexp_replace(number, r"\D", "").try_cast("double"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with `value` evaluated once, however often `use` refers to it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _factor(unit: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in BYTES.items() for x in (k, float(v))])
     return table[unit]
