@@ -77,15 +77,17 @@ def changes(observations: DataFrame, keys: Sequence[str], attributes: Sequence[s
 def append(satellite: DataFrame, batch: DataFrame, history: DataFrame, keys: Sequence[str], attributes: Sequence[str], ts: str, tie: Sequence[str] = (), *, bucket_us: int = 7 * DAY_US) -> DataFrame:
     """The rows to append to `satellite` for a `batch` of further observations, some of which may be late.
 
-    `history` holds the observations the satellite was built from; it is read for keys of the batch with late rows only
-    (pruned by a semi-join), because a late row can split a version whose second half the satellite never stored.
+    `history` holds the observations the satellite was built from. A late row can split a version whose second half the
+    satellite never stored, so keys of the batch with a row not newer than all of their history are rebuilt from it; of the
+    other keys only the newest time is read there.
     Rows of the satellite that a late row made redundant stay; `periods` reads over them.
     """
     keys = list(keys)
     now = batch.select(*dict.fromkeys((*keys, *attributes, ts, *tie)))
-    newest = satellite.groupBy(*keys).agg(F.max("valid_from").alias(_H + "newest"))
-    late = now.join(newest, keys).filter(F.col(ts) < F.col(_H + "newest")).select(*keys).distinct()
-    stored = satellite.join(now.select(*keys).distinct(), keys, "left_semi")
+    mine = now.select(*keys).distinct()
+    newest = history.select(*keys, ts).join(mine, keys, "left_semi").groupBy(*keys).agg(F.max(ts).alias(_H + "newest"))
+    late = now.join(newest, keys).filter(F.col(ts) <= F.col(_H + "newest")).select(*keys).distinct()
+    stored = satellite.join(mine, keys, "left_semi")
     known = stored.select(*keys, *attributes, F.col("valid_from").alias(ts), *[t for t in tie if t not in keys])
     known = known.unionByName(history.join(late, keys, "left_semi").select(*known.columns))
     after = changes(known.unionByName(now.select(*known.columns)), keys, attributes, ts, tie, bucket_us=bucket_us)
