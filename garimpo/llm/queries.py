@@ -127,11 +127,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_profile": p10_profile,
 }
 
+_ODD = "\u00a0\u200b"
 _BARE = canonical_values.bare_sql("brand", spark=False)
 _NAME = canonical_values.bare_sql("brandname", spark=False)
 _SHORT = canonical_values.bare_sql("shortname", spark=False)
 _MAPPED = rf"""
-    WITH v AS (SELECT brand, {_BARE} AS bare FROM (SELECT DISTINCT brand FROM normalized_products WHERE regexp_replace(brand, '[\s\u00a0\u200b]+', '', 'g') <> '')),
+    WITH v AS (SELECT brand, {_BARE} AS bare FROM (SELECT DISTINCT brand FROM normalized_products WHERE regexp_replace(brand, '[\s{_ODD}]+', '', 'g') <> '')),
     r AS (SELECT brandid, {_NAME} AS bare, {_SHORT} AS short FROM brand_reference),
     f AS (SELECT *, replace(bare, ' ', '') AS f0, array_to_string(list_sort(string_split(bare, ' ')), '') AS f1 FROM v),
     g AS (SELECT *, replace(bare, ' ', '') AS g0, array_to_string(list_sort(string_split(bare, ' ')), '') AS g1 FROM r),
