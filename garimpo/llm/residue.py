@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions.edges import let
 from garimpo.functions.text import single_spaced
 from garimpo.operators.skew import hot_keys, lookup
 from garimpo.session import cut
@@ -123,7 +124,7 @@ def residue(records: DataFrame, host: str, text: str, id_column: str = "id") ->
     """
     t = records.select(F.col(id_column).alias("id"), F.coalesce(F.col(host), F.lit("")).alias("host"), normal(F.col(text)).alias("text"))
     # Written once: several steps below read the few suspects, and would search all texts again otherwise.
-    suspects = cut(t.filter(suspect(F.col("text"))))
+    suspects = cut(t.filter(let(F.col("text"), suspect)))
     key = F.concat("host", F.lit("\x1f"), "text")
     distinct = cut(suspects.select("host", "text").distinct())
     own = distinct.select("host", "text", F.explode(lines(F.col("text"))).alias("line"))
