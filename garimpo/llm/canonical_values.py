@@ -61,10 +61,10 @@ _JOIN = """
              substring(form, 1 + floor(i * length(form) / (k + 1)), floor((i + 1) * length(form) / (k + 1)) - floor(i * length(form) / (k + 1))) AS seg
       FROM listed LATERAL VIEW explode(sequence(0, k)) AS i),
     placed AS (SELECT id, kind, form, k, seg, pos FROM segment LATERAL VIEW explode(sequence(greatest(1, start - k), start + k)) AS pos),
-    lengths AS (SELECT array_sort(collect_set(length(seg))) AS ls FROM segment),
+    sized AS (SELECT value, kind, form, (SELECT array_sort(collect_set(length(seg))) FROM segment) AS ls FROM typed),
     probe AS (
       SELECT value, kind, form, pos, substring(form, pos, l) AS seg
-      FROM typed JOIN lengths LATERAL VIEW explode(sequence(1, length(form))) AS pos LATERAL VIEW explode(ls) AS l
+      FROM sized LATERAL VIEW explode(sequence(1, length(form))) AS pos LATERAL VIEW explode(ls) AS l
       WHERE pos + l - 1 <= length(form)),
     candidate AS (
       SELECT DISTINCT p.value, p.kind, p.form, r.id, r.form AS target, r.k
