@@ -79,6 +79,28 @@ SQL: dict[str, str] = {
     SELECT provider, providerproductid, price, epoch_us(createdat) AS validfrom_us,
            lead(epoch_us(createdat)) OVER (PARTITION BY provider, providerproductid ORDER BY createdat, id) AS validto_us
     FROM ({_VERSIONS}) v""",
+    "p4_found": r"""
+    WITH c AS (
+      SELECT DISTINCT id, field, v, title FROM (SELECT id, 'storagecapacity' AS field, storagecapacity AS v, originaltitle AS title FROM normalized_products
+        UNION ALL SELECT id, 'memorycapacity', memorycapacity, originaltitle FROM normalized_products) x WHERE v IS NOT NULL AND NOT regexp_full_match(v, '[0-9]+GB')),
+    n AS (SELECT *, lower(translate(v, '×', 'x')) AS t, lower(title) AS tt FROM c),
+    p AS (SELECT *,
+        CASE WHEN regexp_matches(t, '[0-9] ?[a-z]+ ?\(') THEN 1 ELSE coalesce(try_cast(nullif(regexp_extract(t, '([0-9]+) ?(x|pentes de) ?[0-9]', 1), '') AS INT), try_cast(nullif(regexp_extract(t, 'b ?x ?([0-9]+)', 1), '') AS INT), 1) END AS k,
+        CASE WHEN regexp_matches(t, '[0-9] ?[a-z]+ ?\(') THEN regexp_extract(t, '([0-9.,]+) ?[a-z]+ ?\(', 1) WHEN regexp_matches(t, '[0-9] ?(x|pentes de) ?[0-9]') THEN regexp_extract(t, '(x|pentes de) ?([0-9.,]+)', 2) ELSE regexp_extract(t, '[0-9]+([.,][0-9]+)*') END AS num,
+        regexp_extract(t, '[0-9] ?([kmgt]i?b|gigas|gigabytes|tera|[gt])([^a-z]|$)', 1) AS u FROM n),
+    q AS (SELECT *, CASE WHEN regexp_matches(num, '^[1-9][0-9]{0,2}[.][0-9]{3}$') THEN replace(num, '.', '')::DOUBLE ELSE try_cast(replace(num, ',', '.') AS DOUBLE) END AS x,
+        CASE WHEN u = '' THEN CASE WHEN regexp_matches(tt, '(^|[^0-9.,])' || num || '([.,]0)? ?(tb|tera|t)([^a-z0-9/]|$)') THEN 1e12 WHEN regexp_matches(tt, '(^|[^0-9.,])' || num || ' ?(gb|g)([^a-z0-9/]|$)') THEN 1e9 WHEN regexp_matches(tt, '(^|[^0-9])' || num || '000 ?gb') THEN 1e12 END
+             WHEN u = 'gib' THEN 1073741824 WHEN u = 'mib' THEN 1048576 WHEN u = 'tib' THEN 1099511627776 WHEN u[1] = 'm' THEN 1e6 WHEN u[1] = 'g' THEN 1e9 WHEN u[1] = 't' THEN 1e12 END::DOUBLE AS f FROM p),
+    r AS (SELECT DISTINCT id, pricetext, lower(regexp_replace(translate(pricetext, '０１２３４５６７８９', '0123456789'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM raw_products
+          WHERE pricetext IS NOT NULL AND NOT regexp_full_match(pricetext, 'R\$ [0-9]{1,3}([.][0-9]{3})*,[0-9]{2}')),
+    s AS (SELECT *, CASE WHEN regexp_matches(t, ' por ') THEN regexp_extract(t, ' por .*') WHEN regexp_matches(t, ' ou [0-9]+x de') THEN regexp_extract(t, '^(.*) ou [0-9]', 1) ELSE t END AS a FROM r),
+    z AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(a, '^([0-9]+)x de', 1), '') AS INT), 1) AS k, regexp_extract(regexp_replace(a, '^[0-9]+x de', ''), '[0-9]+([., ][0-9]+)*') AS num FROM s),
+    y AS (SELECT *, CASE WHEN regexp_matches(num, '[.,][0-9]{1,2}$') THEN try_cast(regexp_replace(regexp_replace(num, '[.,]([0-9]{1,2})$', '_\1'), '[., ]', '', 'g').replace('_', '.') AS DOUBLE)
+                         ELSE try_cast(regexp_replace(num, '[., ]', '', 'g') AS DOUBLE) END AS x FROM z)
+    SELECT 'normalized_products' AS tablename, id, field, floor(x * k * f + 0.5)::BIGINT AS amount FROM q WHERE x IS NOT NULL AND f IS NOT NULL
+    UNION ALL
+    SELECT 'raw_products', id, 'pricetext', floor(CASE WHEN contains(t, 'reais e') THEN regexp_extract(t, '([0-9]+) reais', 1)::DOUBLE * 100 + regexp_extract(t, 'e ([0-9]+) centavos', 1)::DOUBLE WHEN contains(t, 'centavos') THEN x
+             WHEN contains(t, ' mil') THEN x * 100000 ELSE x * k * 100 END + 0.5)::BIGINT FROM y WHERE x IS NOT NULL""",
     "p1_change_rates": """
     WITH one AS (SELECT DISTINCT id, provider, providerproductid, title, pricetext, price, url, source, createdat FROM raw_products WHERE providerproductid IS NOT NULL),
     n AS (SELECT *, lag(title) OVER w AS t0, lag(pricetext) OVER w AS x0, lag(price) OVER w AS p0, lag(url) OVER w AS u0, lag(source) OVER w AS s0,
