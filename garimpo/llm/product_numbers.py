@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from garimpo.functions.edges import let
+
 #: Fewest digits of a number in an address that can be a product number; shorter ones belong to the title in it.
 LEAST_DIGITS = 7
 # Query parameters that hold a product number or a further address.
@@ -21,18 +23,21 @@ def from_id(text: Column) -> Column:
 
 def from_url(url: Column) -> Column:
     """The product number in an address: redirects are followed, tracking parameters and fragments ignored; else null."""
-    inner = F.regexp_extract(url, rf"(?i)[?&](?:{ADDRESS_PARAMETERS})=([^&#\s]+)", 1)
-    address = F.lower(F.trim(F.coalesce(F.when(inner != "", F.try_url_decode(inner)), url)))
-    bare = F.regexp_replace(address, r"#.*$", "")
-    parameter = F.regexp_extract(bare, rf"[?&](?:{NUMBER_PARAMETERS})=(\d{{{LEAST_DIGITS},}})(?!\d)", 1)
-    path = F.regexp_extract(F.regexp_replace(bare, r"\?.*$", ""), rf"(?<![a-z0-9])p?(\d{{{LEAST_DIGITS},}})(?![a-z0-9])", 1)
-    number = F.when(parameter != "", parameter).when(path != "", path)
-    return F.regexp_replace(number, r"^0+(?=\d)", "")
+    def number(address: Column) -> Column:
+        parameter = F.regexp_extract(address, rf"[?&](?:{NUMBER_PARAMETERS})=(\d{{{LEAST_DIGITS},}})(?!\d)", 1)
+        path = F.regexp_extract(F.substring_index(address, "?", 1), rf"(?<![a-z0-9])p?(\d{{{LEAST_DIGITS},}})(?![a-z0-9])", 1)
+        found = let(F.when(address.contains("?"), parameter), lambda p: F.when(p != "", p).otherwise(path))
+        return let(found, lambda n: F.when(n != "", F.regexp_replace(n, r"^0+(?=\d)", "")))
+
+    redirected = F.regexp_extract(url, rf"(?i)[?&](?:{ADDRESS_PARAMETERS})=([^&#\s]+)", 1)
+    inner = F.when(url.contains("%"), let(redirected, lambda x: F.when(x != "", F.try_url_decode(x))))
+    return let(F.substring_index(F.lower(F.trim(F.coalesce(inner, url))), "#", 1), number)
 
 
 def identities(provider: Column, product_id: Column, url: Column) -> Column:
     """array<string> of a listing's identities within its provider: the numbers of its id and its address, or the bare address."""
     shop = F.coalesce(F.lower(F.trim(provider)), F.lit(""))
-    number = from_url(url)
-    bare_url = F.when(number.isNull() & (F.trim(url) != ""), F.lower(F.trim(F.regexp_replace(url, r"[?#].*$", ""))))
-    return F.transform(F.array_distinct(F.array_compact(F.array(from_id(product_id), number, bare_url))), lambda n: F.concat(shop, F.lit("#"), n))
+    bare = F.lower(F.trim(F.regexp_replace(url, r"[?#].*$", "")))
+    by_url = lambda number: F.coalesce(number, F.when(F.trim(url) != "", bare))
+    both = let(from_url(url), lambda number: F.array_distinct(F.array_compact(F.array(from_id(product_id), by_url(number)))))
+    return F.transform(both, lambda n: F.concat(shop, F.lit("#"), n))
