@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.text import is_blank
 from garimpo.llm import canonical_values, components, hash_forest, leakage, listings, mixing, product_numbers, reading, residue
+from garimpo.llm.sql import SQL as SQL_TEXTS
 from garimpo.session import cut
 from garimpo.sources.tables import table
 
@@ -127,46 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_profile": p10_profile,
 }
 
-_ODD = "\u00a0\u200b"
-_BARE = canonical_values.bare_sql("brand", spark=False)
-_NAME = canonical_values.bare_sql("brandname", spark=False)
-_SHORT = canonical_values.bare_sql("shortname", spark=False)
-_MAPPED = rf"""
-    WITH v AS (SELECT brand, {_BARE} AS bare FROM (SELECT DISTINCT brand FROM normalized_products WHERE regexp_replace(brand, '[\s{_ODD}]+', '', 'g') <> '')),
-    r AS (SELECT brandid, {_NAME} AS bare, {_SHORT} AS short FROM brand_reference),
-    f AS (SELECT *, replace(bare, ' ', '') AS f0, array_to_string(list_sort(string_split(bare, ' ')), '') AS f1 FROM v),
-    g AS (SELECT *, replace(bare, ' ', '') AS g0, array_to_string(list_sort(string_split(bare, ' ')), '') AS g1 FROM r),
-    x AS (SELECT brand, brandid, CASE WHEN f0 = replace(short, ' ', '') AND f0 <> '' THEN -1
-                 WHEN f0 = '' THEN NULL
-                 ELSE least(CASE WHEN levenshtein(f0, g0) <= {canonical_values.edits_sql("length(g0)")} THEN levenshtein(f0, g0) END,
-                            CASE WHEN levenshtein(f1, g1) <= {canonical_values.edits_sql("length(g1)")} THEN levenshtein(f1, g1) END) END AS dist
-          FROM f CROSS JOIN g),
-    y AS (SELECT brand, brandid, dist, min(dist) OVER (PARTITION BY brand) AS least FROM x),
-    m AS (SELECT brand, CASE WHEN count(*) = 1 THEN min(brandid) ELSE -1 END AS brandid FROM y WHERE dist = least GROUP BY brand)"""
-
-SQL: dict[str, str] = {
-    "p5_found": """
-    WITH u AS (SELECT DISTINCT id, provider, providerproductid AS pid,
-                 lower(trim(CASE WHEN regexp_matches(url, '[?&]to=') THEN url_decode(regexp_extract(url, '[?&]to=([^&#\\s]+)', 1)) ELSE url END)) AS a FROM raw_products),
-    n AS (SELECT id, provider, nullif(ltrim(regexp_replace(pid, '[^0-9]', '', 'g'), '0'), '') AS x,
-                 nullif(ltrim(coalesce(nullif(regexp_extract(a, '[?&]id=([0-9]{7,})', 1), ''),
-                                       regexp_extract(regexp_replace(a, '[?#].*$', ''), '[/-]p?([0-9]{7,})([^a-z0-9]|$)', 1)), '0'), '') AS y FROM u),
-    k AS (SELECT id, provider, x AS num FROM n WHERE x IS NOT NULL UNION SELECT id, provider, y FROM n WHERE y IS NOT NULL),
-    f AS (SELECT provider, num, min(id) AS first FROM k GROUP BY ALL)
-    SELECT DISTINCT k.id FROM k JOIN f ON k.provider = f.provider AND k.num = f.num WHERE f.first < k.id""",
-    "p3_found": f"""{_MAPPED}
-    SELECT n.id, coalesce(m.brandid, -1)::INT AS brandid
-    FROM normalized_products n JOIN v ON n.brand = v.brand LEFT JOIN m ON n.brand = m.brand
-    WHERE n.brand NOT IN (SELECT brandname FROM brand_reference)""",
-    "p3_unmatched": f"""{_MAPPED}
-    SELECT n.brand AS value, count(*) AS n FROM normalized_products n JOIN v ON n.brand = v.brand LEFT JOIN m ON n.brand = m.brand
-    WHERE coalesce(m.brandid, -1) = -1 GROUP BY n.brand""",
-    "p7_found": """
-    WITH RECURSIVE e AS (
-      SELECT leftid AS a, rightid AS b FROM comparisons
-      WHERE leftid IS NOT NULL AND rightid IS NOT NULL AND leftid <> rightid
-        AND regexp_replace(trim(upper(verdict)), '[^A-Z]+', '_', 'g') IN ('IDENTICAL', 'LIKELY_IDENTICAL')),
-    n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    reach AS (SELECT a AS id, a AS r FROM n UNION SELECT reach.id, n.b FROM reach JOIN n ON reach.r = n.a)
-    SELECT id, min(r) AS groupid FROM reach GROUP BY id""",
-}
+SQL = SQL_TEXTS
