@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from garimpo.functions.edges import filled, plain_spaces
+from garimpo.functions.edges import filled, let, plain_spaces
 
 
 def number(text: Column) -> Column:
@@ -21,12 +21,15 @@ def number(text: Column) -> Column:
 def parse_price(text: Column) -> Column:
     """The least amount after "R$" that is no instalment ("10x de R$ 99"); without one the greatest other number; else null."""
     t = plain_spaces(text)
-    parts = F.split(t, r"(?i)r\$")
-    left = lambda i: F.right(F.get(parts, i - 1), F.lit(12))
     value = lambda p: F.regexp_extract(p, r"^\s*([\d\s.,]+)", 1)
-    after = F.transform(F.slice(parts, 2, 1 << 20), lambda p, i: F.struct(value(p).alias("v"), F.regexp_like(left(i + 1), F.lit(r"(?i)\d\s*[x×]\s*(?:de\s*)?$")).alias("parts"), F.regexp_like(p, F.lit(r"(?i)^\s*[\d\s.,]+[x×]")).alias("times")))
-    priced = F.transform(F.filter(after, lambda a: ~a["parts"] & ~a["times"] & (a["v"] != "")), lambda a: number(a["v"]))
-    prefixed = F.array_min(F.filter(priced, lambda x: x > 0))
+
+    def after_prefix(parts: Column) -> Column:
+        left = lambda i: F.right(F.get(parts, i), F.lit(12))
+        after = F.transform(F.slice(parts, 2, 1 << 20), lambda p, i: F.struct(value(p).alias("v"), F.regexp_like(left(i), F.lit(r"(?i)\d\s*[x×]\s*(?:de\s*)?$")).alias("parts"), F.regexp_like(p, F.lit(r"(?i)^\s*[\d\s.,]+[x×]")).alias("times")))
+        priced = F.transform(F.filter(after, lambda a: ~a["parts"] & ~a["times"] & (a["v"] != "")), lambda a: number(a["v"]))
+        return F.array_min(F.filter(priced, lambda x: x > 0))
+
+    prefixed = let(F.split(t, r"(?i)r\$"), after_prefix)
     after_times = F.regexp_replace(t, r"(?i)(\d\s*[x×]\s*(?:de\s*)?)\d[\d.,\s]*", "$1")
     loose = F.regexp_replace(after_times, r"(?i)\d[\d.,\s]*([x×])", "$1")
     other = F.array_max(F.filter(F.transform(F.regexp_extract_all(loose, F.lit(r"(\d[\d.,\s]*)"), F.lit(1)), number), lambda x: x > 0))

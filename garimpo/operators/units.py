@@ -37,7 +37,7 @@ SAME = 0.005
 NEAR = 0.2
 
 _UNIT = r"([kmgt]i?b|[kmgt]ega(?:byte)?s?|tera(?:byte)?s?|giga(?:byte)?s?|[kmgt])"
-_NUM = r"(\d+(?:[.,]\d+)*)"
+_NUM = r"(\d+(?:[.,]\d+){0,6})"
 _WIDE = "０１２３４５６７８９，．＄Ｒ×"
 _PLAIN = "0123456789,.$Rx"
 
@@ -110,11 +110,15 @@ def choose(candidates: Column, identities: Column) -> Column:
 def printed_capacities(title: Column) -> Column:
     """Bytes of every capacity printed in a title, kits multiplied out as well; rates (6 Gb/s, 130MB/s) are none."""
     t = plain(title)
-    mention = r"\b(\d+(?:[.,]\d+)*) ?" + _UNIT + r"\b(?!/| ?ps\b)"
-    number, unit = F.regexp_extract_all(t, F.lit(mention), F.lit(1)), F.regexp_extract_all(t, F.lit(mention), F.lit(2))
-    single = F.transform(number, lambda x, i: as_decimal(x) * _factor(F.get(unit, i)))
-    grouped = F.filter(F.transform(number, lambda x, i: as_grouped(x) * _factor(F.get(unit, i))), lambda x: x.isNotNull())
-    return F.concat(single, grouped)
+    mention = r"\b(\d+(?:[.,]\d+){0,6}) ?" + _UNIT + r"\b(?!/| ?ps\b)"
+    found = F.struct(F.regexp_extract_all(t, F.lit(mention), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(mention), F.lit(2)).alias("u"))
+
+    def read(x: Column) -> Column:
+        single = F.transform(x["n"], lambda n, i: as_decimal(n) * _factor(F.get(x["u"], i)))
+        grouped = F.transform(x["n"], lambda n, i: as_grouped(n) * _factor(F.get(x["u"], i)))
+        return F.concat(single, F.array_compact(grouped))
+
+    return let(found, read)
 
 
 def capacity(text: Column, title: Column | None = None) -> Column:
@@ -128,7 +132,7 @@ def capacity(text: Column, title: Column | None = None) -> Column:
     size_first = rf"{_NUM} ?{_UNIT} ?x ?(\d+)\b"
     total = rf"{_NUM} ?{_UNIT} ?\("
     one = rf"{_NUM} ?{_UNIT}\b"
-    bare = r"^(\d+(?:[.,]\d+)*)$"
+    bare = r"^(\d+(?:[.,]\d+){0,6})$"
 
     def read(t: Column) -> Column:
         part = lambda p, n, u, m: F.struct(_get(t, p, n).alias("n"), (_get(t, p, u) if u else F.lit(None).cast("string")).alias("u"), (_get(t, p, m) if m else F.lit("1")).alias("m"))
@@ -156,10 +160,10 @@ def price(text: Column, known: Column | None = None) -> Column:
     instalments times their count if nothing else is stated. "mil" is a factor of a thousand. Between a decimal and a
     thousands reading the price column `known` (in reais) decides where it is filled.
     """
-    amount = r"(?:r\s*\$|brl)?\s*(\d+(?:[., ]\d+)*)( ?mil\b)?"
+    amount = r"(?:r\s*\$|brl)?\s*(\d+(?:[., ]\d+){0,6})( ?mil\b)?"
     parts = r"(\d+) ?x ?(?:de )?" + amount
     asked = r"\bpor " + amount
-    both = r"(\d+(?:[.,]\d+)*) reais e (\d+) centavos?"
+    both = r"(\d+(?:[.,]\d+){0,6}) reais e (\d+) centavos?"
     cents = r"^\D*(\d+(?:[.,]\d{3})*) centavos?"
     none = F.array().cast("array<double>")
     digits = lambda x: F.regexp_replace(x, r"\D", "").try_cast("double")

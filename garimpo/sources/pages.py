@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.functions.edges import filled, plain_spaces
+from garimpo.functions.edges import filled, let, plain_spaces
 
 #: Most rows that are read of one page of the layout `plain_cards`.
 CARD_LIMIT = 80
@@ -48,10 +48,12 @@ def card_title(text: Column) -> Column:
 
 def card_price(text: Column) -> Column:
     """The last price of a card's text that is no instalment ("10x de R$ 99")."""
-    parts = F.split(text, r"R\$")
-    prices = F.transform(F.slice(parts, 2, 1 << 20), lambda p, i: F.struct(F.regexp_extract(p, r"^(\s*[\d.]+,?\d*)", 1).alias("p"), F.contains(F.lower(F.right(F.get(parts, i), F.lit(10))), F.lit("x de")).alias("parts")))
-    kept = F.filter(prices, lambda x: (x["p"] != "") & ~x["parts"])
-    return F.when(F.size(kept) > 0, F.concat(F.lit("R$"), F.element_at(kept, -1)["p"]))
+    def last(parts: Column) -> Column:
+        prices = F.transform(F.slice(parts, 2, 1 << 20), lambda p, i: F.struct(F.regexp_extract(p, r"^(\s*[\d.]+,?\d*)", 1).alias("p"), F.contains(F.lower(F.right(F.get(parts, i), F.lit(10))), F.lit("x de")).alias("parts")))
+        kept = F.filter(prices, lambda x: (x["p"] != "") & ~x["parts"])
+        return let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("R$"), F.element_at(k, -1)["p"])))
+
+    return let(F.split(text, r"R\$"), last)
 
 
 def plain_cards(pages: DataFrame, page_id: str, html: str = "html") -> DataFrame:
