@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import math
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 #: Consecutive words that make a leak.
@@ -195,6 +197,7 @@ def leaked(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("p
     Repeated rows give repeated results. Items are streamed to the driver shard by shard and never held as a whole.
     """
     spark = documents.sparkSession
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the executors need not have this package
     schema = f"{doc_id} bigint, {item_id} bigint, field string, run int"
     docs = documents.select(doc_id, text)
     rows = ((r[0], dict(zip(fields, r[1:], strict=True))) for r in items.select(item_id, *fields).toLocalIterator())
