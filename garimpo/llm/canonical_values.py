@@ -54,8 +54,8 @@ _FORMS = """
     FROM {bare}"""
 
 _JOIN = """
-    WITH typed AS (SELECT value, f.kind, f.form FROM (SELECT * FROM {typed}) WHERE f.form <> ''),
-    listed AS (SELECT value AS id, f.kind, f.form, {edits} AS k FROM (SELECT * FROM {listed})),
+    WITH listed AS (SELECT value AS id, f.kind, f.form, {edits} AS k FROM (SELECT * FROM {listed})),
+    typed AS (SELECT value, f.kind, f.form FROM (SELECT * FROM {typed}) WHERE f.form <> '' AND length(f.form) <= (SELECT max(length(form) + k) FROM listed)),
     segment AS (
       SELECT id, kind, form, k, i, 1 + floor(i * length(form) / (k + 1)) AS start,
              substring(form, 1 + floor(i * length(form) / (k + 1)), floor((i + 1) * length(form) / (k + 1)) - floor(i * length(form) / (k + 1))) AS seg

@@ -28,7 +28,7 @@ def prose(text: Column) -> Column:
     x = F.regexp_replace(x, r"(?s)```.*?(?:```|\z)", "\n")
     x = F.regexp_replace(x, r"(?is)<(pre|code|script|style)\b.*?</\1\s*>", "\n")
     x = F.regexp_replace(x, r"(?m)^(?: {4}|\t).*$", "")
-    x = F.regexp_replace(x, r"!?\[([^\]]*)\]\([^)\s]*\)", "$1")
+    x = F.regexp_replace(x, r"!?\[([^\[\]]{0,300})\]\([^)\s]*\)", "$1")
     x = F.regexp_replace(x, r"`[^`\n]*`", " ")
     x = F.regexp_replace(x, r"(?i)</(?:p|div|li|h\d|tr|blockquote)>|<br */?>|<(?:p|div|li|h\d|tr|blockquote)\b[^<>]*>", "\n")
     x = F.regexp_replace(x, r"<!--|-->|</?[a-zA-Z][^<>]*>", " ")
@@ -37,7 +37,7 @@ def prose(text: Column) -> Column:
     x = F.regexp_replace(x, r"(?i)\b(?:https?://|www\.)\S+", " ")
     x = F.regexp_replace(x, r"(?m)^[ \t]*(?:>+ ?)+", "")
     # Lines that are built like statements or commands rather than prose.
-    return F.regexp_replace(x, r"(?m)^.*(?:[{}]\s*$|=>|\$\(|\);\s*$|^\s*(?:\./|export \w+=|import \w|def \w+\(|class \w+[:(]|return \w+;|tar x|cat \S+\.|SELECT |FROM \w+$|JOIN |WHERE |GROUP BY|ORDER BY)|\w+\(\w*\)|\w+ ?[=!]= ?\w+).*$", "")
+    return F.regexp_replace(x, r"(?m)^.*(?:[{}][ \t]*$|=>|\$\(|\);[ \t]*$|^[ \t]*(?:\./|export \w+=|import \w|def \w+\(|class \w+[:(]|return \w+;|tar x|cat \S+\.|SELECT |FROM \w+$|JOIN |WHERE |GROUP BY|ORDER BY)|\w\(\w{0,40}\)|\w ?[=!]= ?\w).*$", "")
 
 
 def word_array(text: Column) -> Column:

@@ -27,7 +27,7 @@ _ITEMS = rf"""{_MAPPED},
     known AS (SELECT {_NAME} AS name, '#' || brandid AS b FROM brand_reference UNION SELECT bare, bare FROM named WHERE coalesce(brandid, -1) = -1 AND bare <> ''),
     t1 AS (SELECT n.id, x.bare, x.brandid, lower(strip_accents(translate(n.originaltitle, '×', 'x'))) AS t FROM normalized_products n LEFT JOIN named x ON n.brand = x.brand WHERE n.originaltitle IS NOT NULL),
     t2 AS (SELECT *, ' ' || regexp_replace(t, '[^a-z0-9&]+', ' ', 'g') || ' ' AS ws,
-        CASE WHEN regexp_matches(t, '(^|[^a-z0-9])[a-z][a-z][ -]?[0-9]{{5}}([^0-9]|$)') THEN regexp_extract(t, '(^|[^a-z0-9])([a-z][a-z][ -]?[0-9]{{5}})([^0-9]|$)', 2)
+        CASE WHEN regexp_matches(t, '(^|[^a-z0-9])[a-z][a-z][ -]?[0-9]{{5}}([^0-9g]|$)') THEN regexp_extract(t, '(^|[^a-z0-9])([a-z][a-z][ -]?[0-9]{{5}})([^0-9g]|$)', 2)
              ELSE regexp_extract(t, '(^|[^a-z0-9])([a-z][a-z][0-9]{{3}})([^0-9]|$)', 2) END AS c FROM t1
         WHERE NOT regexp_matches(t, '(^|[^a-z])(suporte|case|cabo|adaptador|dissipador|parafuso|espacador|pelicula|capa)([^a-z]|$)')),
     t3 AS (SELECT *, regexp_replace(c, '[ -]', '') AS code, regexp_extract(substring(t, strpos(t, c) + length(c)), '^[ -]?(pro|plus|max|lite|neo)([^a-z]|$)', 1) AS suffix,
@@ -48,7 +48,7 @@ _RESIDUE = [
     r"(nan|null|undefined) ?gb|\(null\)|(^|[^a-z0-9])(undefined|null|nan) *($|[|/,;:()–-])|^none$|undefined (undefined|nan)",
     rf"lorem ipsum|(^|[^a-z])({_LATIN}) ({_LATIN}) ({_LATIN})([^a-z]|$)|blah blah|foo bar|asdf|qwerty|^a{{5,}}$|^x+( x+)+$|^z+ 1+$|teste teste|teste - ignorar|do not buy|nao comprar",
     r"(http|erro|error) [45][0-9][0-9]|[45][0-9][0-9] (- )?(not found|página não encontrada|forbidden|acesso negado|muitas requisições|serviço indisponível|internal server error|bad gateway|gateway time-?out|produto removido)",
-    r"internal server error|bad gateway|gateway time-?out|serviço indisponível|página não encontrada|não encontramos essa página|página expirada|sessão expirou|acesso negado|access to this page|^forbidden|algo deu errado|something went wrong|falha ao carregar|conexão recusada|unexpected token|muitas requisições|produto removido|em manutenção|not found \(|: not found|just a moment|só um momento|aguarde, carregando|carregando produto|checking your browser|verificando se você|não é um robô|security check",
+    r"internal server error|bad gateway|gateway time-?out|serviço indisponível|página não encontrada|não encontramos essa página|página expirada|sessão expirou|acesso negado|access to this page|^forbidden|algo deu errado|something went wrong|falha ao carregar|conexão recusada|unexpected token|muitas requisições|produto removido|em manutenção|(^|: )(not found|forbidden) *($|[|(–-])|just a moment|só um momento|aguarde, carregando|carregando produto|checking your browser|verificando se você|não é um robô|security check",
     r"enable (javascript|js)|(ative o|precisa de) javascript|javascript is disabled|habilite cookies|habilitar scripts",
 ]
 

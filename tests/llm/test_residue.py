@@ -8,7 +8,7 @@ RESIDUE = {
     "placeholder": ["{{ title }}", "SSD {brand} 1TB", "${item?.name ?? ''}", "RAM <%= sku %> 8GB", "{% for p in x %}", "#{nome}", "[[marca]]", "@@sku@@ SSD", "__NOME__", "%title%", "Drive %s", "<h2></h2>", "&lt;title&gt;", "[object Object]", "translation missing: pt.x", "#REF!", "Nome do produto (código 1)", "TODO: preencher título", "xxx-xxx 000GB", "Disco {0}", "t('product.title')"],
     "empty": ["undefined", "SSD undefined NaNGB", "null - nullGB", "(null)", "None", "SSD Vortaq | null", "GPU NaN GB"],
     "filler": ["lorem ipsum dolor", "SSD tempor incididunt ut labore", "blah blah blah", "foo bar baz", "asdf asdf", "aaaaaaa", "TESTE - IGNORAR", "test item do not buy", "zzzz 1111"],
-    "error": ["Erro 404: Página não encontrada", "HTTP 503 Serviço indisponível", "Error 502 (código 1)", "Acesso negado (403)", "Estamos em manutenção", "Aguarde, carregando...", "Só um momento...", "Just a moment…", "Confirme que não é um robô", "Unexpected token < in JSON", "Drive: 404 - Not Found"],
+    "error": ["Erro 404: Página não encontrada", "HTTP 503 Serviço indisponível", "Error 502 (código 1)", "Acesso negado (403)", "Estamos em manutenção", "Aguarde, carregando...", "Só um momento...", "Just a moment…", "Confirme que não é um robô", "Unexpected token < in JSON", "Drive: 404 - Not Found", "Not Found | loja BR", "Unidade: Forbidden", "Site em manutenção, volte mais tarde (ref. 1a2b)"],
     "script": ["Please enable JavaScript to view this page", "Ative o JavaScript para continuar", "JavaScript is disabled in your browser", "Habilite cookies e JavaScript", "Você precisa habilitar scripts no navegador"],
 }
 REAL = [
@@ -33,6 +33,13 @@ def test_recurrent_phrases_are_subtracted(spark, rows):
     assert rows(residue.residue(df, "host", "title")) == [("e", "error"), ("n", "empty")]
 
 
+def test_recurrent_messages_stay(spark, rows):
+    """Messages with a reference mark are many different texts; none of their parts may be subtracted."""
+    data = [(f"{k}{i}", "h", f"{t} - ref. {i:04x}aa") for k, t in (("a", "Digite aqui o título do anúncio"), ("b", "Site em manutenção, volte mais tarde"), ("c", "404 Página não encontrada | loja")) for i in range(12)]
+    df = spark.createDataFrame(data, "id string, host string, title string")
+    assert residue.residue(df, "host", "title").count() == 36
+
+
 def test_empty_repeats_and_long_texts(spark, rows):
     df = spark.createDataFrame([("1", "h", "{{x}}"), ("1", "h", "{{x}}"), ("2", "h", "palavra " * 40_000 + "{{x}}")], "id string, host string, title string")
     assert rows(residue.residue(df, "host", "title"), "id") == [("1",), ("2",)]
