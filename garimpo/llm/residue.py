@@ -4,8 +4,9 @@
 2. Their texts are cut into lines: at line breaks and separators, and the first three to five words as a line of their
    own. Lines are normalised and counted by host, over different texts.
 3. A line is boilerplate if it recurs, if most texts that have it hold real content beside it, and if it is no evidence of
-   its own: it shows none ("Camiseta Undefined Behavior"), or an error or script message between words of a longer phrase
-   ("Adesivo Erro 404 para Gabinete"). Placeholders, printed empty values and filler are never subtracted.
+   its own: an error or script message stands in it between words of a longer phrase ("Adesivo Erro 404 para Gabinete").
+   Lines without evidence need no subtracting, and could tear a message that runs over their end. Placeholders, printed
+   empty values and filler are never subtracted.
 4. What is left after subtracting boilerplate is searched for evidence of unfilled placeholders, printed empty values,
    filler, error pages and notices that scripts are needed.
 """
@@ -38,12 +39,12 @@ EMPTY = "|".join([
 _LATIN = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris"
 FILLER = "|".join([
     rf"lorem ipsum|\b(?:{_LATIN}) (?:{_LATIN}) (?:{_LATIN})\b",
-    r"\bblah blah\b|\bfoo bar\b|\basdf\b|\bqwerty\b|^(\p{L})\1{4,}$|^(?:(\p{L})\2+ ?)+(?:(\d)\3+)?$",
+    r"\bblah blah\b|\bfoo bar\b|\basdf\b|\bqwerty\b|^(\p{L})\1{4,}+$|^(?:(\p{L})\2++ ?+)++(?:(\d)\3++)?$",
     r"\bteste?s? ?[-–:]? ?(?:teste|ignorar|ignore|123)\b|\b(?:test|teste)\b.*\b(?:do not buy|n[aã]o comprar)|\bdo not buy\b|\bn[aã]o comprar\b",
 ])
 _MESSAGE = r"not found|p[áa]gina n[ãa]o encontrada|forbidden|acesso negado|muitas requisi[çc][õo]es|too many requests|servi[çc]o indispon[íi]vel|service unavailable|internal server error|bad gateway|gateway time-?out|produto removido|unauthorized|n[ãa]o autorizado|gone"
 ERROR = "|".join([
-    rf"\b(?:http|erro|error)\W{{0,2}}[45]\d\d\b|\b[45]\d\d\W{{0,3}}(?:{_MESSAGE})|(?:{_MESSAGE}) ?\([45]\d\d\)",
+    rf"\b(?:http|erro|error)\W{{0,2}}[45]\d\d\b|\b[45]\d\d\W{{0,3}}(?:{_MESSAGE})|(?:{_MESSAGE}) ?\([45]\d\d\)|(?:^|: )(?:{_MESSAGE})(?= *(?:$|[|(–-]))",
     r"internal server error|bad gateway|gateway time-?out|service unavailable|servi[çc]o indispon[íi]vel|p[áa]gina n[ãa]o encontrada|n[ãa]o encontramos (?:essa|esta|a) p[áa]gina|page not found",
     r"p[áa]gina expirada|sess[ãa]o expirou|session (?:has )?expired|acesso negado|access denied|access to this page|^forbidden\b|algo deu errado|something went wrong|falha ao carregar|failed to load",
     r"conex[ãa]o recusada|connection refused|unexpected token|muitas requisi[çc][õo]es|too many requests|produto removido|em manuten[çc][ãa]o|under maintenance|volte mais tarde",
@@ -76,8 +77,9 @@ def suspect(text: Column) -> Column:
 #: A line recurs if at least this many different texts of a host have it, and is boilerplate only where at least CONTENT of them hold content beside it.
 RECURS = 3
 CONTENT = 0.8
-#: Content beside a line: this many words, one of them with a digit.
-CONTENT_WORDS = 4
+#: Content beside a line: this many words, one of them with a digit, apart from reference marks.
+CONTENT_WORDS = 5
+MARKS = r"\(?\b(?:ref\.?|c[óo]digo|code|protocolo)[ :#]*\w+\)?"
 
 
 def normal(text: Column) -> Column:
@@ -102,19 +104,19 @@ def lines(text: Column) -> Column:
 
 
 def _content(rest: Column) -> Column:
-    words = F.filter(F.split(rest, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(rest, MARKS, " "), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return (F.size(words) >= CONTENT_WORDS) & F.exists(words, lambda w: F.regexp_like(w, F.lit(r"\d")))
 
 
 def boilerplate(texts: DataFrame) -> DataFrame:
-    """(host, line): recurrent lines of different `texts` (host, text) that have content beside them and are no evidence of their own."""
-    df = texts.select("host", "text", F.explode(lines(F.col("text"))).alias("line"))
-    df = df.filter(F.size(F.split("line", " ")) >= 2)
-    beside = _content(F.expr("replace(text, line, ' ')"))
+    """(host, line): recurrent lines of different `texts` (host, text) that hold a message and have content beside them."""
+    # Words on both sides, near enough that the search stays linear in long lines; only lines with a message are searched.
+    inside = rf"\p{{L}}{{3,}} .{{0,60}}?(?:{ERROR}|{SCRIPT}).{{0,60}}? \p{{L}}{{3,}}"
+    embedded = lambda line: kind_of(line).isin("error", "script") & F.regexp_like(line, F.lit(inside))
+    df = texts.select("host", "text", F.explode(F.filter(lines(F.col("text")), embedded)).alias("line"))
+    beside = _content(F.expr("replace(text, line, ' | ')"))
     counted = df.groupBy("host", "line").agg(F.count("*").alias("n"), F.count_if(beside).alias("with_content"))
-    kind, inside = kind_of(F.col("line")), rf"\p{{L}}{{3,}} .*(?:{ERROR}|{SCRIPT}).* \p{{L}}{{3,}}"
-    more = kind.isNull() | (kind.isin("error", "script") & F.regexp_like("line", F.lit(inside)))
-    return counted.filter((F.col("n") >= RECURS) & (F.col("with_content") >= CONTENT * F.col("n")) & more).select("host", "line")
+    return counted.filter((F.col("n") >= RECURS) & (F.col("with_content") >= CONTENT * F.col("n"))).select("host", "line")
 
 
 def residue(records: DataFrame, host: str, text: str, id_column: str = "id") -> DataFrame:
