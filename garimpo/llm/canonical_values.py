@@ -24,6 +24,9 @@ LEET = ("@0341$5", "aoealss")
 BEFORE = r"^(linha|marca|fabricante|fab|by|brand)\b[ .:]*"
 AFTER = r"( -)?[ (-]+(loja oficial|oficial|tech br|tech|do brasil|brasil|inc|ltda|oem|bulk|br|original|sa)[).]*$"
 
+#: Reference names that may be broadcast to drop exact values; more are looked up key by key.
+BROADCAST_NAMES = 10_000
+
 #: Edits allowed for a reference form of a given length: (least length, edits), longest first.
 EDITS = ((10, 4), (6, 3), (4, 1), (0, 0))
 
@@ -104,7 +107,11 @@ def map_rows(rows: DataFrame, id_column: str, column: str, reference: DataFrame,
     Blank is null, empty or white space only. Values held by many rows (a third of all, say) are spread by `lookup`.
     """
     filled = rows.select(id_column, F.col(column).alias("value")).filter(~is_blank(F.col("value")))
-    filled = filled.join(F.broadcast(reference.select(F.col("name").alias("value"))), "value", "left_anti")
+    names = reference.filter(F.col("name").isNotNull()).select(F.col("name").alias("value")).distinct()
+    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        filled = filled.join(F.broadcast(names), "value", "left_anti")
+    else:
+        filled = lookup(filled, "value", names.withColumn("__exact", F.lit(True)), "__exact", hot_keys(filled, "value")).filter(F.col("__exact").isNull()).select(id_column, "value")
     mapped = map_values(filled, reference, none).select("value", F.col("id").alias(out))
     hot = hot_keys(filled, "value")
     return lookup(filled, "value", mapped, out, hot).select(id_column, out)

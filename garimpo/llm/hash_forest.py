@@ -85,20 +85,20 @@ class HashForest:
         """Keys of sampled probes that match history by brute force: every entry with a common feature is compared."""
         f = probes.select(F.struct("key", "features").alias("a"), F.explode(F.array_distinct("features")).alias("f"))
         h = history.filter(F.col("tree") == 0).select(F.struct("key", "features").alias("b"), F.explode(F.array_distinct("features")).alias("f"))
-        return h.join(F.broadcast(f), "f").filter(self.verify(F.col("a"), F.col("b"))).select(F.col("a.key").alias("key")).distinct()
+        return h.join(f, "f").filter(self.verify(F.col("a"), F.col("b"))).select(F.col("a.key").alias("key")).distinct()
 
     def locate(self, signed: DataFrame) -> DataFrame:
         """(key, first) for the signed entries that match history; prefixes are widened until the recall target is met."""
         history = self.history()
         if history is None:
             return signed.select("key", "first").limit(0)
-        # A bounded sample (self.sample entries), so it may be broadcast; it only measures, the search is over all entries.
+        # A bounded sample (self.sample entries); it only measures, the search is over all entries.
         some = signed.filter(F.col("tree") == 0).orderBy(F.xxhash64(F.lit(-1), "key")).limit(self.sample).select("key", "features")
         some = self.spark.createDataFrame(some.collect(), some.schema)
         truth = {r.key for r in self._truth(some, history).collect()}
         for length in range(self.depth, 0, -1):
             probes = self.signatures(some.withColumn("first", F.lit(None).cast("string")))
-            got = {r.key for r in self._matches(F.broadcast(probes), history, length).collect()} if truth else truth
+            got = {r.key for r in self._matches(probes, history, length).collect()} if truth else truth
             rate = len(got & truth) / len(truth) if truth else 1.0
             if rate >= self.recall or length == 1:
                 self.reached.append((length, rate))

@@ -35,6 +35,12 @@ def test_rows_skip_blank_and_exact(spark, reference, rows):
     assert rows(cv.map_rows(df, "id", "brand", reference.limit(0), "brandid")) == [("1", -1), ("5", -1), ("6", -1)]
 
 
+def test_long_references_are_not_broadcast(spark, reference, rows, monkeypatch):
+    monkeypatch.setattr(cv, "BROADCAST_NAMES", 1)
+    df = spark.createDataFrame([("1", "Vortaq"), ("5", "vortaq"), ("6", "nada")], "id string, brand string")
+    assert rows(cv.map_rows(df, "id", "brand", reference, "brandid")) == [("5", 1), ("6", -1)]
+
+
 def test_pigeonhole_join_loses_nothing(spark, reference):
     """Against brute force over random edits: every value within the allowed distance is found."""
     r = random.Random(3)
