@@ -44,3 +44,21 @@ def failure_category(message: Column, name: Column) -> Column:
         .when(any_of("network", "DNS", "net::", "ECONNREFUSED", "Error"), "network_dns")
         .otherwise("other")
     )
+
+
+# Codes of failed result pages by category.
+PAGE_CODES = {"cloudflare": "CLOUDFLARE", "timeout": "TIMEOUT", "navigation": "NAVIGATION", "selector": "INPUT_NOT_FOUND", "network_dns": "NAVIGATION", "other": "DOM_CHANGED"}
+
+
+def is_blocked(page_title: Column) -> Column:
+    """Whether a page is a shop's maintenance or access-check page, by its title."""
+    return F.coalesce(page_title.contains("Manutenção") | page_title.contains("Pru Pru"), F.lit(False))
+
+
+def page_code(message: Column, name: Column, cards: Column) -> Column:
+    """Code of a failed page; NO_PRODUCTS for a page that loaded without any card; null for one with cards and no message."""
+    category = failure_category(message, name)
+    code = F.lit(None).cast("string")
+    for key, value in PAGE_CODES.items():
+        code = F.when(category == key, value).otherwise(code)
+    return F.when(message.isNotNull(), code).when(F.coalesce(cards, F.lit(0)) == 0, "NO_PRODUCTS")

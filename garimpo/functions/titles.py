@@ -84,3 +84,8 @@ def availability(title: Column, price_text: Column, provider: Column) -> Column:
     priced = F.coalesce(has(price_text, r"\d"), F.lit(False))
     kabum = F.when(filled(price_text).isNotNull(), "in_stock").otherwise("unknown")
     return F.when(filled(title).isNull(), "unknown").when(gone, "out_of_stock").when(priced, "in_stock").when(provider == "kabum", kabum).otherwise("in_stock")
+
+
+def is_listing(title: Column) -> Column:
+    """Whether a title names a product: it is neither blank nor one of a page's own links to more."""
+    return F.coalesce(~F.trim(title).isin("", "Ver todas", "Ver todos"), F.lit(False))

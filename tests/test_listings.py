@@ -133,6 +133,13 @@ def test_failures(spark):
     assert value(spark, failures.retry_delay(F.lit(3))) == 4000.0 and value(spark, failures.retry_delay(F.lit(9))) == 5000.0
 
 
+def test_page_codes(spark):
+    code = lambda m, n: value(spark, failures.page_code(F.lit(m).cast("string"), F.lit("Error"), F.lit(n)))
+    assert [code("403", 0), code("timeout", 0), code(None, 0), code(None, 3), code("x", 1)] == ["CLOUDFLARE", "TIMEOUT", "NO_PRODUCTS", None, "DOM_CHANGED"]
+    assert value(spark, failures.is_blocked(F.lit("Em Manutenção"))) and not value(spark, failures.is_blocked(F.lit(None).cast("string")))
+    assert [value(spark, titles.is_listing(F.lit(t).cast("string"))) for t in ("SSD", " Ver todas ", "", None)] == [True, False, False, False]
+
+
 def test_urls(spark):
     assert value(spark, urls.search_slug(F.lit(" fonte rm850x! é "))) == "fonte-rm850x!-%C3%A9"
     assert value(spark, urls.search_page_url("b/", F.lit("a"), F.lit(3))) == "b/a_Desde_97_NoIndex_True"
