@@ -1,7 +1,8 @@
 """Template residue, filler and error-page text in place of content.
 
-1. Records with any suspicious word or sign are kept (one cheap pattern); equal texts of a host are handled once.
-2. Their texts are cut into lines: at line breaks and separators, and the first three to five words as a line of their
+1. Records with any suspicious word or sign are kept (a cheap search), then those with evidence anywhere in their text;
+   equal texts of a host are handled once.
+2. These texts are cut into lines: at line breaks and separators, and the first three to five words as a line of their
    own. Lines are normalised and counted by host, over different texts.
 3. A line is boilerplate if it recurs, if most texts that have it hold real content beside it, and if it is no evidence of
    its own: an error or script message stands in it between words of a longer phrase ("Adesivo Erro 404 para Gabinete").
@@ -128,7 +129,7 @@ def residue(records: DataFrame, host: str, text: str, id_column: str = "id") ->
     # Written once: several steps below read the few suspects, and would search all texts again otherwise.
     suspects = cut(t.filter(let(F.col("text"), suspect)))
     key = F.concat("host", F.lit("\x1f"), "text")
-    distinct = cut(suspects.select("host", "text").distinct())
+    distinct = cut(suspects.select("host", "text").distinct().filter(kind_of(F.col("text")).isNotNull()))
     own = distinct.select("host", "text", F.explode(lines(F.col("text"))).alias("line"))
     hits = own.join(boilerplate(distinct), ["host", "line"]).groupBy("host", "text").agg(F.array_sort(F.collect_set("line"), lambda a, b: F.length(b) - F.length(a)).alias("gone"))
     rest = F.aggregate(F.coalesce("gone", F.array().cast("array<string>")), F.col("text"), lambda x, line: F.replace(x, line, F.lit(" | ")))
