@@ -38,6 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that `cut` wrote in this process.
+_cuts: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that `cut` wrote in this process; call it once their results are stored. Returns how many."""
+    jvm, n = spark.sparkContext._jvm, len(_cuts)
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it from there.
 
@@ -46,5 +59,6 @@ def cut(df: DataFrame) -> DataFrame:
     iterative operators until the optimiser drowns in them.
     """
     at = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _cuts.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from garimpo.operators import skew
-from garimpo.session import cut
+from garimpo.session import cut, drop_cuts
 
 
 def test_lookup_of_hot_keys(spark, rows, monkeypatch):
@@ -24,3 +26,5 @@ def test_cut_keeps_rows_and_types(spark):
     df = spark.range(5).withColumn("a", F.array(F.struct(F.col("id").alias("x")))).filter("id < 3")
     got = cut(df)
     assert got.dtypes == df.dtypes and got.count() == 3 and cut(df.limit(0)).count() == 0
+    assert drop_cuts(spark) >= 2 and drop_cuts(spark) == 0
+    assert not [f for f in got.inputFiles() if Path(f.removeprefix("file://")).exists()]
