@@ -227,7 +227,9 @@ def page_success(spark: SparkSession, d: str) -> DataFrame:
 def engine_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Mean event value of two kinds of events per user, and their difference."""
     df = table(spark, d, "events", "user_id", "event_type", "value").filter(F.col("event_type").isin("view", "click"))
-    of = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
+    # Exact sums of hundredths: a mean of doubles would depend on the order in which partitions are added up.
+    cents = F.floor(F.col("value") * F.lit(100.0) + F.lit(0.5)).cast("long")
+    of = lambda k: F.sum(F.when(F.col("event_type") == k, cents)).cast("double") / F.nullif(F.count_if(F.col("event_type") == k), F.lit(0)) / F.lit(100.0)
     return df.groupBy("user_id").agg(of("view").alias("view"), of("click").alias("click")).withColumn("delta", F.col("click") - F.col("view"))
 
 

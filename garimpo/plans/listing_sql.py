@@ -230,7 +230,7 @@ def build(catalogue: tuple, messages: tuple, query: str, categories: tuple) -> d
     SELECT {cols} FROM t WHERE rt = 1"""
     slug = "replace(replace(replace(replace(replace(replace(replace(url_encode(trim(searchquery)), '%20', '-'), '+', '-'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
     page = lambda u: f"CASE WHEN regexp_extract({u}, '[?&]page=([^&#]*)', 1) = '' THEN 0 WHEN regexp_matches(regexp_extract({u}, '[?&]page=([^&#]*)', 1), '^[0-9]{{1,9}}$') THEN regexp_extract({u}, '[?&]page=([^&#]*)', 1)::INT END"
-    runs = lambda keys, source: f"SELECT {keys}, count(*) AS runs, count(*) FILTER (status = 'success') AS successes, avg((coalesce(status, '') = 'success')::INT) AS success_rate, avg(executiontime) AS avg_ms, min(executiontime) AS min_ms, max(executiontime) AS max_ms, avg(productcount) FILTER (status = 'success') AS avg_rows, sum(productcount) AS total_rows FROM {source} GROUP BY {keys}"
+    runs = lambda keys, source: f"SELECT {keys}, count(*) AS runs, count(*) FILTER (status = 'success') AS successes, avg((coalesce(status, '') = 'success')::INT) AS success_rate, avg(executiontime) AS avg_ms, min(executiontime) AS min_ms, max(executiontime) AS max_ms, avg(productcount) FILTER (status = 'success') AS avg_rows, sum(productcount)::BIGINT AS total_rows FROM {source} GROUP BY {keys}"
     rows = f"""SELECT s.id, s.provider, s.status, coalesce(r.n, 0) AS raw, coalesce(n.n, 0) AS normalized FROM searches s
       LEFT JOIN (SELECT searchid, count(*) AS n FROM {RAW} x GROUP BY 1) r ON s.id = r.searchid LEFT JOIN (SELECT searchid, count(*) AS n FROM normalized_products GROUP BY 1) n ON s.id = n.searchid"""
     legacy = lambda c, same, one="FALSE": f"CASE WHEN l_{c} IS NULL AND r_{c} IS NULL THEN TRUE WHEN l_{c} IS NULL OR r_{c} IS NULL THEN {one} ELSE coalesce({same}, FALSE) END"
@@ -275,7 +275,7 @@ def build(catalogue: tuple, messages: tuple, query: str, categories: tuple) -> d
         "run_statistics": runs("provider", "searches"),
         "query_statistics": f"SELECT provider, query, runs, min_ms, max_ms, avg_ms FROM ({runs('provider, query', '(SELECT *, lower(trim(searchquery)) AS query FROM searches)')}) r",
         "page_success": "SELECT provider, page, count(*) AS runs, count(*) FILTER (status = 'success') AS successes FROM (SELECT *, try_cast(json_extract_string(pagination, '$.currentPage') AS INT) AS page FROM searches) s GROUP BY provider, page",
-        "engine_deltas": "SELECT *, click - view AS delta FROM (SELECT user_id, avg(value) FILTER (event_type = 'view') AS view, avg(value) FILTER (event_type = 'click') AS click FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id) x",
+        "engine_deltas": "SELECT *, click - view AS delta FROM (SELECT user_id, sum(c) FILTER (event_type = 'view')::DOUBLE / count(*) FILTER (event_type = 'view') / 100::DOUBLE AS view, sum(c) FILTER (event_type = 'click')::DOUBLE / count(*) FILTER (event_type = 'click') / 100::DOUBLE AS click FROM (SELECT *, floor(value * 100::DOUBLE + 0.5::DOUBLE)::BIGINT AS c FROM events) ev WHERE event_type IN ('view', 'click') GROUP BY user_id) x",
         "failure_classes": f"SELECT event_id, kind, category, event_id % 5 < 3 AND kind IN ('retriable', 'transient') AS retry, least(500::DOUBLE * pow(2::DOUBLE, event_id % 5), 5000::DOUBLE) AS delay_ms FROM (SELECT event_id, {kind} AS kind, {category} AS category FROM {failed} f) x",
         "failure_pivot": f"SELECT strftime(ts, '%Y-%m-%d') AS day, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in categories)} FROM (SELECT ts, {category} AS category FROM {failed} f) x GROUP BY 1",
         "failure_distribution": f"SELECT category, count(*) AS n FROM (SELECT {category} AS category FROM {failed} f) x GROUP BY category ORDER BY n DESC, category",
