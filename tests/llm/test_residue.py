@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+from itertools import product
+from re import _constants as op
+from re import _parser
+
 from pyspark.sql import functions as F
 
 from garimpo.llm import residue
@@ -44,3 +48,57 @@ def test_empty_repeats_and_long_texts(spark, rows):
     df = spark.createDataFrame([("1", "h", "{{x}}"), ("1", "h", "{{x}}"), ("2", "h", "palavra " * 40_000 + "{{x}}")], "id string, host string, title string")
     assert rows(residue.residue(df, "host", "title"), "id") == [("1",), ("2",)]
     assert residue.residue(df.limit(0), "host", "title").count() == 0
+
+
+def texts_of(pattern):
+    """Texts for every path through a pattern: all alternatives and small sets, each repeat at its fewest and one more."""
+
+    def one(parsed, groups):
+        outs = [("", groups)]
+        for kind, arg in parsed:
+            outs = [(text + more, after) for text, before in outs for more, after in item(kind, arg, before)]
+        return outs
+
+    def item(kind, arg, groups):
+        if kind is op.LITERAL:
+            return [(chr(arg), groups)]
+        if kind is op.IN:
+            if arg[0][0] is op.NEGATE:
+                return [("q", groups)]
+            literals = [chr(v) for k, v in arg if k is op.LITERAL]
+            ranges = [chr(v[0]) for k, v in arg if k is op.RANGE]
+            classes = [{op.CATEGORY_DIGIT: "5", op.CATEGORY_WORD: "w", op.CATEGORY_NOT_WORD: " "}[v] for k, v in arg if k is op.CATEGORY]
+            return [(x, groups) for x in ([*literals, *ranges][:4] or classes)]
+        if kind is op.ANY or kind is op.NOT_LITERAL:
+            return [("q", groups)]
+        if kind is op.BRANCH:
+            return [x for branch in arg[1] for x in one(branch, groups)]
+        if kind is op.SUBPATTERN:
+            return [(text, after | {arg[0]: text}) for text, after in one(arg[3], groups)]
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
+            least, most, inner = arg
+            return [x for n in range(least, min(most, least + 1) + 1) for x in one(list(inner) * n, groups)]
+        if kind is op.GROUPREF:
+            return [(groups[arg], groups)]
+        assert kind in (op.AT, op.ASSERT, op.ASSERT_NOT), kind
+        return [("", groups)]
+
+    return {text for text, _ in one(_parser.parse(pattern.replace(r"[\p{L}_$]", "[a_$]").replace(r"[\p{L}\w.$-]", "[a1.]").replace(r"\p{L}", "[ab]")), {})}
+
+
+def test_every_evidence_is_suspect(spark):
+    """The cheap search must keep whatever has evidence, alone and inside other text."""
+    texts = set()
+    for kind, pattern in residue.KINDS.items():
+        made = texts_of(pattern)
+        assert made, kind
+        texts |= {f"{before}{t}{after}" for t, (before, after) in product(made, (("", ""), ("ssd ", " (1tb"), ("ssd: ", "")))}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8).select("text", residue.kind_of(F.col("text")).alias("kind"), residue.suspect(F.col("text")).alias("suspect")).filter("kind IS NOT NULL").cache()
+    assert {r.kind for r in df.select("kind").distinct().collect()} == set(residue.KINDS)
+    assert [r.text for r in df.filter("NOT suspect").limit(20).collect()] == []
+
+
+def test_short_evidence_is_found(spark, rows):
+    data = ["Ative o JS para continuar", "Habilite JS", "This site requires JS", "Insira o nome", "Digite aqui o nome", "Preencha o nome", "Gone", "xx yy zz", "exercitation ullamco laboris", "sed ut enim", "Too many requests"]
+    df = spark.createDataFrame([(f"{i:02d}", "h", t) for i, t in enumerate(data)], "id string, host string, title string")
+    assert rows(residue.residue(df, "host", "title"), "id") == [(f"{i:02d}",) for i in range(len(data))]
