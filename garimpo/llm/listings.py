@@ -3,7 +3,8 @@
 1. Titles are cut into tokens; those that identify an item are kept with their position: model codes (letters and digits,
    however joined), a variant suffix that stands by a code, the capacity, the modules of a kit, and the brand.
 2. Titles with the same tokens form one profile with a weight, so copies of one listing are handled once.
-3. Every combination of a model code with one or more other tokens of its profile is a candidate. Its score is
+3. Every combination of a model code with one or more other tokens of its profile is a candidate, and the bare code of a
+   profile that has no other token. Its score is
    (length in characters) x ln(1 + titles that have it) / (1 + its average position): frequent, long and early wins.
    Each profile votes for its best combination; the code in it is the profile's model.
 4. Verification splits what shares a combination but not brand, model with suffix, capacity and modules; clusters of
@@ -123,8 +124,9 @@ def vote(profiles: DataFrame) -> DataFrame:
         part(F.col("kit") > 1, F.concat(F.lit("k:"), F.col("kit").cast("string"))),
     )
     one = one.withColumn("rest", rest)
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 4) - 1)
-    fits = F.filter(masks, lambda k: k < F.expr("shiftleft(1, size(rest))"))
+    # Mask 0 is the bare code, a candidate only where there is nothing to combine it with.
+    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), 4) - 1)
+    fits = F.filter(masks, lambda k: (k < F.expr("shiftleft(1, size(rest))")) & ((k > 0) | (F.size("rest") == 0)))
     subset = lambda k: F.filter(F.transform("rest", lambda x, i: F.when(F.getbit(k, i) == 1, x)), lambda x: x.isNotNull())
     combined = one.select("key", "n", "m", F.explode(F.transform(fits, lambda k: F.concat_ws(" ", F.array(F.col("m.code")), subset(k)))).alias("combination"))
     stats = combined.groupBy("combination").agg(F.sum("n").alias("f"), F.try_divide(F.sum(F.col("m.pos") * F.col("n")), F.sum("n")).alias("at"))

@@ -49,3 +49,11 @@ def test_large_groups_are_paired_in_blocks(spark, monkeypatch):
     df = spark.range(40).selectExpr("format_string('%03d', id) AS id", "'x' AS item")
     got = listings.pairs(df)
     assert got.count() == 40 * 39 // 2 and got.distinct().count() == 40 * 39 // 2
+
+
+def test_bare_codes_are_items(spark, reference, rows):
+    """Listings that show only a code: copies are one item, and join the only brand known for the same; another code is another item."""
+    data = [("1", "Oferta KL77777", None, None), ("2", "KL-77777", "", None), ("3", "MN88888", None, None), ("4", "MN88888", "Vortaq", None), ("5", "PQ99999", None, None)]
+    members = listings.groups(spark.createDataFrame(data, "id string, title string, brand string, model string"), reference)
+    assert rows(members, "id") == [("1",), ("2",), ("3",), ("4",), ("5",)]
+    assert rows(listings.pairs(members)) == [("1", "2"), ("3", "4")]
