@@ -49,10 +49,14 @@ CODE = rf"(?<![a-z0-9])(?:(?<!\d )(?:gb|tb|mb|kb|mt)|(?!(?:gb|tb|mb|kb|mt)[ _-]?
 
 # Variant words that are known whatever the titles.
 SUFFIXES = ("pro", "plus", "max", "lite", "neo")
+#: A further word after a code, the start of a next code that is no such word, and words that are no variant of one code either.
+WORD = r"[a-z]{2,12}"
+ANY_CODE = r"[a-z]{2,4}[ _-]\d{3}"
+NO_SUFFIXES = rf"{KINDS}|{ACCESSORIES}|bits?|[mg]hz|rpm|mt|[mgtk]b|gbps|mbps|pol|anos|tera|gigas?|kit"
 
 
 def variant_suffixes(titles: DataFrame) -> list[str]:
-    """Words that are variants of models: SUFFIXES, and those written right after a code's digits in at least 1 % of such cases.
+    """Words that are variants of all models: SUFFIXES, and those written right after a code's digits in at least 1 % of such cases.
 
     At most 100 words can hold 1 % each, so the list is bounded whatever the size of `titles` (column `t`, folded).
     """
@@ -81,6 +85,7 @@ def tokens(listings: DataFrame, reference: DataFrame) -> DataFrame:
 
     `models` holds (code, suffix, pos) of every code in the title, else of the one in the model column. `reference` is
     (id, name, short) of known brands; brands that are not listed are known by their spelling without case and accents.
+    A rare variant word is a suffix of just the codes it is written right after in some title, or follows in some model column.
     A brand typed freely is read first; where it means no listed brand the title is searched for a known one.
     """
     typed = listings.select(F.col("brand").alias("value"))
@@ -101,12 +106,27 @@ def tokens(listings: DataFrame, reference: DataFrame) -> DataFrame:
     searched = base.filter(F.col("known").isNull()).withColumn("w", words).select("id", F.explode(runs).alias("r")).select("id", "r.run", "r.pos")
     in_title = searched.join(known, "run").groupBy("id").agg(F.min(F.struct(-F.length("run"), "pos", "brand")).alias("b")).select("id", F.col("b.brand").alias("titled"))
     df = base.join(in_title, "id", "left")
+    # The word after a code is its suffix if it is known for all codes, or for this one; `word` is any other word there.
     code_of = lambda c: F.transform(
-        F.regexp_extract_all(c, F.lit(rf"({CODE}(?:[ _-]?(?:{suffixes})(?![a-z0-9]))?)"), F.lit(1)),
-        lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, r"^([a-z]+[ _-]?[0-9]+)", 1), r"[ _-]", "").alias("code"), F.regexp_extract(x, r"[0-9][ _-]?([a-z]+)$", 1).alias("suffix")),
+        F.regexp_extract_all(c, F.lit(rf"({CODE}(?:[ _-]?(?:(?:{suffixes})|(?!{ANY_CODE}){WORD})(?![a-z0-9]))?)"), F.lit(1)),
+        lambda x: F.struct(
+            F.regexp_replace(F.regexp_extract(x, r"^([a-z]+[ _-]?[0-9]+)", 1), r"[ _-]", "").alias("code"),
+            F.regexp_extract(x, rf"[0-9][ _-]?({suffixes})$", 1).alias("suffix"),
+            F.regexp_extract(x, rf"[0-9][ _-]?(?!(?:{suffixes}|{NO_SUFFIXES})$)([a-z]+)$", 1).alias("word"),
+            F.regexp_like(x, F.lit(r"[0-9]-?[a-z]+$")).alias("glued"),
+        ),
     )
-    codes = code_of(F.col("t"))
-    df = df.withColumn("codes", codes).withColumn("codes", F.when(F.size("codes") > 0, F.col("codes")).otherwise(F.coalesce(code_of(F.col("m")), F.array())))
+    df = cut(df.withColumn("codes", code_of(F.col("t"))).withColumn("typed", F.coalesce(code_of(F.col("m")), F.array())))
+    pair = lambda c: F.concat_ws(" ", c["code"], c["word"])
+    pairs_of = lambda cs: F.transform(F.filter(cs, lambda c: c["word"] != ""), pair)
+    either = F.when(F.size("codes") > 0, F.col("codes")).otherwise(F.col("typed"))
+    evidence = F.concat(pairs_of(F.filter(F.coalesce("codes", F.array()), lambda c: c["glued"])), pairs_of(F.col("typed")))
+    own = df.select(F.explode(evidence).alias("pair")).distinct().withColumn("is_suffix", F.lit(True))
+    asked = df.select("id", F.explode(pairs_of(either)).alias("pair"))
+    confirmed = lookup(asked, "pair", own, "is_suffix", hot_keys(asked, "pair")).filter("is_suffix").groupBy("id").agg(F.collect_set("pair").alias("confirmed"))
+    df = df.withColumn("codes", either).join(confirmed, "id", "left")
+    is_own = lambda c: (c["word"] != "") & F.coalesce(F.array_contains("confirmed", pair(c)), F.lit(False))
+    df = df.withColumn("codes", F.transform("codes", lambda c: F.struct(c["code"].alias("code"), F.when(is_own(c), c["word"]).otherwise(c["suffix"]).alias("suffix"))))
     place = lambda c: F.size(F.split(F.split(F.col("t"), c["code"].substr(F.lit(1), F.lit(2)), 2)[0], r"[^a-z0-9]+"))
     models = F.transform("codes", lambda c: F.struct(c["code"].alias("code"), c["suffix"].alias("suffix"), place(c).alias("pos")))
     accessory = F.col("t").rlike(rf"^(?:[^|/,]*?\b)?(?:{ACCESSORIES})\b.*\b(?:{KINDS})\b") | F.col("t").rlike(rf"(?:^|\s)(?:{FOR}) (?:{KINDS})\b")

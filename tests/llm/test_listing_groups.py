@@ -57,3 +57,15 @@ def test_bare_codes_are_items(spark, reference, rows):
     members = listings.groups(spark.createDataFrame(data, "id string, title string, brand string, model string"), reference)
     assert rows(members, "id") == [("1",), ("2",), ("3",), ("4",), ("5",)]
     assert rows(listings.pairs(members)) == [("1", "2"), ("3", "4")]
+
+
+def test_rare_suffixes_are_kept_by_code(spark, reference, rows):
+    """A word that is glued to a code, or follows it in a model column, is a suffix of that code, however rare; of no other."""
+    common = [(f"c{i:03d}", f"SSD Vortaq RS{10000 + i}Pro 1TB", "Vortaq", None) for i in range(250)]
+    data = [
+        ("1", "SSD Vortaq AB12345 Ultra 1TB", "Vortaq", None), ("2", "SSD Vortaq AB12345 1TB", "Vortaq", None), ("3", "Vortaq AB12345Ultra SSD 1TB", "Vortaq", None), ("4", "SSD 1TB Vortaq ab-12345", "Vortaq", None),
+        ("5", "SSD Vortaq CD54321 Extreme 1TB", "Vortaq", "CD54321 Extreme"), ("6", "SSD Vortaq CD54321 1TB", "Vortaq", "CD54321"), ("7", "Vortaq CD54321 extreme 1TB SSD", "Vortaq", None),
+        ("8", "SSD Vortaq EF11111 Ultra 1TB", "Vortaq", None), ("9", "SSD Vortaq EF11111 1TB", "Vortaq", "EF11111 SSD"),
+    ]
+    members = listings.groups(spark.createDataFrame(common + data, "id string, title string, brand string, model string"), reference)
+    assert rows(listings.pairs(members)) == [("1", "3"), ("2", "4"), ("5", "7"), ("8", "9")]
