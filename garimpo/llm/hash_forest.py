@@ -5,7 +5,7 @@ the features, two hexadecimal digits each. A run of the forest is a table of (tr
 (tree, sig), so all entries under a prefix lie in one range of it, and Parquet statistics skip the others.
 
 A batch is located by range search: entries with the same tree and the same prefix are candidates and are verified. The
-search starts with whole signatures and widens to shorter prefixes until the recall, measured against brute force on a
+search starts with the longest prefix that suffices by the threshold's collision formula and widens to shorter ones until the recall, measured against brute force on a
 bounded sample of the batch, reaches its target. What was not found is accepted and becomes a new run; runs of similar
 size are merged, so history is rewritten a logarithmic number of times and never processed as a whole for a batch.
 
@@ -36,6 +36,7 @@ def jaccard_from(threshold: float) -> Callable[[Column, Column], Column]:
         common = F.size(F.array_intersect(a["features"], b["features"]))
         return common >= threshold * (F.size(F.array_distinct(a["features"])) + F.size(F.array_distinct(b["features"])) - common)
 
+    similar.threshold = threshold
     return similar
 
 
@@ -87,6 +88,15 @@ class HashForest:
         h = history.filter(F.col("tree") == 0).select(F.struct("key", "features").alias("b"), F.explode(F.array_distinct("features")).alias("f"))
         return h.join(f, "f").filter(self.verify(F.col("a"), F.col("b"))).select(F.col("a.key").alias("key")).distinct()
 
+    def longest(self) -> int:
+        """The longest prefix at which a match just at verify's threshold is expected to be found with the target recall; at least 1.
+
+        A min-hash agrees with probability of the similarity. A `verify` without a threshold counts as exact.
+        """
+        threshold = getattr(self.verify, "threshold", 1.0)
+        expected = lambda length: 1 - (1 - threshold**length) ** self.trees
+        return next((length for length in range(self.depth, 1, -1) if expected(length) >= self.recall), 1)
+
     def locate(self, signed: DataFrame) -> DataFrame:
         """(key, first) for the signed entries that match history; prefixes are widened until the recall target is met."""
         history = self.history()
@@ -96,7 +106,8 @@ class HashForest:
         some = signed.filter(F.col("tree") == 0).orderBy(F.xxhash64(F.lit(-1), "key")).limit(self.sample).select("key", "features")
         some = self.spark.createDataFrame(some.collect(), some.schema)
         truth = {r.key for r in self._truth(some, history).collect()}
-        for length in range(self.depth, 0, -1):
+        # A sample without matches, or with exact copies only, says nothing of those at the threshold: `longest` bounds the prefix.
+        for length in range(self.longest(), 0, -1):
             probes = self.signatures(some.withColumn("first", F.lit(None).cast("string")))
             got = {r.key for r in self._matches(probes, history, length).collect()} if truth else truth
             rate = len(got & truth) / len(truth) if truth else 1.0

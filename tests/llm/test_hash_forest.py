@@ -59,6 +59,23 @@ def test_near_duplicates_reach_the_recall_target(spark):
     assert forest.reached[-1][0] < 8
 
 
+def test_few_near_duplicates_are_found_without_one_in_the_sample(spark):
+    """20 near-duplicates in a batch of 320, none in the sample: the prefix must not stay at whole signatures."""
+    r = random.Random(7)
+    words = lambda: [f"w{r.randrange(400)}" for _ in range(60)]
+    shingles = lambda ws: [" ".join(ws[k : k + 5]) for k in range(len(ws) - 4)]
+    base = [words() for _ in range(20)]
+    near = [[*ws[:30], "changed", *ws[31:]] for ws in base]
+    schema = "key string, features array<string>, first string"
+    old = spark.createDataFrame([(f"o{i}", shingles(w), f"o{i}") for i, w in enumerate(base)], schema)
+    new = spark.createDataFrame([(f"n{i}", shingles(w), f"n{i}") for i, w in enumerate(near + [words() for _ in range(300)])], schema)
+    forest = hash_forest.HashForest(spark, trees=4, depth=8, recall=0.95, sample=1, verify=hash_forest.jaccard_from(0.8))
+    forest.accept(old)
+    got = {x.key: x["first"] for x in forest.accept(new).filter("known").collect()}
+    assert len(got) >= 18 and all(got[k] == f"o{k[1:]}" for k in got)
+    assert hash_forest.HashForest(spark).longest() == 4
+
+
 def test_runs_are_merged(spark):
     forest = hash_forest.HashForest(spark)
     for b in range(4):
