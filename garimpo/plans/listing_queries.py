@@ -133,7 +133,10 @@ def greedy_offers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts against the catalogue, taking equal brand, model and capacity as the truth."""
+    """Verdicts against the catalogue, taking equal brand, model and capacity as the truth.
+
+    Each different device counts once, however many listings show it, as in the SQL; these are not rates of listings.
+    """
     same = F.col("l.brand").eqNullSafe(F.col("r.brand")) & F.col("l.model").eqNullSafe(F.col("r.model")) & F.col("l.capacityGB").eqNullSafe(F.col("r.capacityGB"))
     return statistics.confusion(_against_catalogue(spark, d), F.col("verdict").isin("IDENTICAL", "LIKELY_IDENTICAL"), same)
 
