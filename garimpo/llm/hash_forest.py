@@ -2,12 +2,12 @@
 
 Every entry has a set of features. For each of `trees` permutations its signature is the string of `depth` min-hashes of
 the features, two hexadecimal digits each. A run of the forest is a table of (tree, sig, key, features, first), sorted by
-(tree, sig), so all entries under a prefix lie in one range of it, and Parquet statistics skip the others.
+(tree, sig), so all entries under a prefix lie in one range of it. The ranges are no predicates yet: nothing is skipped.
 
-A batch is located by range search: entries with the same tree and the same prefix are candidates and are verified. The
+A batch is located by an equality join with all history: entries with the same tree and prefix are candidates and are verified. The
 search starts with the longest prefix that suffices by the threshold's collision formula and widens to shorter ones until the recall, measured against brute force on a
 bounded sample of the batch, reaches its target. What was not found is accepted and becomes a new run; runs of similar
-size are merged, so history is rewritten a logarithmic number of times and never processed as a whole for a batch.
+size are merged, so history is rewritten a logarithmic number of times; it is read as a whole for each batch.
 
 Copies are merged into one entry before anything is shuffled by signature; a listing with a third of all rows is one entry.
 """
