@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from itertools import product
 from re import _constants as op
 from re import _parser
 
@@ -50,52 +49,38 @@ def test_empty_repeats_and_long_texts(spark, rows):
     assert residue.residue(df.limit(0), "host", "title").count() == 0
 
 
-def texts_of(pattern):
-    """Texts for every path through a pattern: all alternatives and small sets, each repeat at its fewest and one more."""
-
-    def one(parsed, groups):
-        outs = [("", groups)]
-        for kind, arg in parsed:
-            outs = [(text + more, after) for text, before in outs for more, after in item(kind, arg, before)]
-        return outs
-
-    def item(kind, arg, groups):
-        if kind is op.LITERAL:
-            return [(chr(arg), groups)]
-        if kind is op.IN:
-            if arg[0][0] is op.NEGATE:
-                return [("q", groups)]
-            literals = [chr(v) for k, v in arg if k is op.LITERAL]
-            ranges = [chr(v[0]) for k, v in arg if k is op.RANGE]
-            classes = [{op.CATEGORY_DIGIT: "5", op.CATEGORY_WORD: "w", op.CATEGORY_NOT_WORD: " "}[v] for k, v in arg if k is op.CATEGORY]
-            return [(x, groups) for x in ([*literals, *ranges][:4] or classes)]
-        if kind is op.ANY or kind is op.NOT_LITERAL:
-            return [("q", groups)]
-        if kind is op.BRANCH:
-            return [x for branch in arg[1] for x in one(branch, groups)]
-        if kind is op.SUBPATTERN:
-            return [(text, after | {arg[0]: text}) for text, after in one(arg[3], groups)]
-        if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
-            least, most, inner = arg
-            return [x for n in range(least, min(most, least + 1) + 1) for x in one(list(inner) * n, groups)]
-        if kind is op.GROUPREF:
-            return [(groups[arg], groups)]
-        assert kind in (op.AT, op.ASSERT, op.ASSERT_NOT), kind
-        return [("", groups)]
-
-    return {text for text, _ in one(_parser.parse(pattern.replace(r"[\p{L}_$]", "[a_$]").replace(r"[\p{L}\w.$-]", "[a1.]").replace(r"\p{L}", "[ab]")), {})}
-
-
-def test_every_evidence_is_suspect(spark):
-    """The cheap search must keep whatever has evidence, alone and inside other text."""
-    texts = set()
-    for kind, pattern in residue.KINDS.items():
-        made = texts_of(pattern)
-        assert made, kind
-        texts |= {f"{before}{t}{after}" for t, (before, after) in product(made, (("", ""), ("ssd ", " (1tb"), ("ssd: ", "")))}
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8).select("text", residue.kind_of(F.col("text")).alias("kind"), residue.suspect(F.col("text")).alias("suspect")).filter("kind IS NOT NULL").cache()
-    assert {r.kind for r in df.select("kind").distinct().collect()} == set(residue.KINDS)
-    assert [r.text for r in df.filter("NOT suspect").limit(20).collect()] == []
+def wildcards(parsed):
+    """Parts of a parsed pattern that match MARK."""
+    for kind, arg in parsed:
+        if kind is op.ANY or (kind is op.NOT_LITERAL and arg != ord(residue.MARK)):
+            yield kind
+        elif kind is op.IN and arg[0][0] is op.NEGATE and not {(op.LITERAL, ord(residue.MARK)), (op.CATEGORY, op.CATEGORY_SPACE)} & set(arg):
+            yield arg
+        elif kind is op.IN and (op.CATEGORY, op.CATEGORY_NOT_WORD) in arg:
+            yield arg
+        elif kind is op.BRANCH:
+            for branch in arg[1]:
+                yield from wildcards(branch)
+        elif kind is op.SUBPATTERN:
+            yield from wildcards(arg[3])
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
+            yield from wildcards(arg[2])
+
+
+def test_no_pattern_reaches_over_a_mark():
+    """So evidence in a residual is evidence in the text, and only texts with evidence need their residual."""
+    for pattern in residue.KINDS.values():
+        assert list(wildcards(_parser.parse(pattern.replace(r"[\p{L}_$]", "[a_$]").replace(r"[\p{L}\w.$-]", "[a1.]").replace(r"\p{L}", "[ab]")))) == []
+
+
+def test_lines_are_counted_over_all_texts(spark, rows):
+    """Lines without any message are counted and subtracted as well; separators and the rest stay in place."""
+    data = [(f"{i}", "h", f"Pronta entrega | SSD Vortaq AB{i:05d} interno {i + 1}TB novo") for i in range(4)] + [("x", "h", "Pronta entrega\r\n {{nome}} | HD 1TB")]
+    df = spark.createDataFrame(data, "id string, host string, text string").select("host", residue.normal(F.col("text")).alias("text"))
+    found = rows(residue.boilerplate(df))
+    assert ("h", "pronta entrega") in found and ("h", "{{nome}}") not in found
+    got = df.select(residue.subtracted(F.col("text"), F.array(F.lit("pronta entrega"))).alias("rest")).filter(F.col("text").contains("nome"))
+    assert rows(got) == [(f"{residue.MARK} | {{{{nome}}}} | hd 1tb",)]
 
 
 def test_short_evidence_is_found(spark, rows):
