@@ -28,26 +28,39 @@ def open_session(name: str = "garimpo", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine) a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if all runs in one process, else an error."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="garimpo-"))
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="garimpo-"))
     return sc.getCheckpointDir()
 
 
-#: Tables that `cut` wrote in this process.
+#: Tables and folders of intermediate data that were written in this process.
 _cuts: list[str] = []
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for intermediate data, not yet there; `drop_cuts` deletes it."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _cuts.append(at)
+    return at
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder; nothing happens if it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cuts(spark: SparkSession) -> int:
-    """Delete the tables that `cut` wrote in this process; call it once their results are stored. Returns how many."""
-    jvm, n = spark.sparkContext._jvm, len(_cuts)
+    """Delete the intermediate data written in this process; call it once their results are stored. Returns how many folders."""
+    n = len(_cuts)
     while _cuts:
-        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _cuts.pop())
     return n
 
 
@@ -58,7 +71,6 @@ def cut(df: DataFrame) -> DataFrame:
     with statistics from its files, and without the constraints of the plan, which multiply from round to round in
     iterative operators until the optimiser drowns in them.
     """
-    at = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    _cuts.append(at)
+    at = new_folder(df.sparkSession, "cut")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
