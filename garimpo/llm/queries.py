@@ -52,6 +52,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return hash_forest.repeated_rows(df.select("id", same.alias("identities")))
 
 
+def p5_near(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate titles (five-word shingles, 0.8) of every row whose number is divisible by 100, against all rows."""
+    df = table(spark, d, "raw_products", "id", "title").withColumnRenamed("title", "text")
+    return hash_forest.similar_texts(df, F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).try_cast("long") % 100 == 0, F.lit(False)))
+
+
 def _residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "raw_products", "id", "provider", "title"), "provider", "title")
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p5_found": p5_found,
+    "p5_near": p5_near,
     "p6_found": p6_found,
     "p6_kinds": p6_kinds,
     "p7_found": p7_found,
