@@ -41,7 +41,7 @@ def test_repeats_and_extra_columns(frame, reference, rows):
 
 def test_empty(frame, reference):
     assert listings.groups(frame.limit(0), reference).count() == 0
-    assert listings.groups(frame, reference.limit(0)).count() == 15
+    assert listings.groups(frame, reference.limit(0)).count() == 16
 
 
 def test_large_groups_are_paired_in_blocks(spark, monkeypatch):
@@ -60,12 +60,41 @@ def test_bare_codes_are_items(spark, reference, rows):
 
 
 def test_rare_suffixes_are_kept_by_code(spark, reference, rows):
-    """A word that is glued to a code, or follows it in a model column, is a suffix of that code, however rare; of no other."""
+    """A word that is glued to a code, or follows it in a model column, is a suffix of that code, however rare.
+
+    One that stands after codes only is a suffix of any code it follows; one that stands elsewhere as well is none.
+    """
     common = [(f"c{i:03d}", f"SSD Vortaq RS{10000 + i}Pro 1TB", "Vortaq", None) for i in range(250)]
     data = [
         ("1", "SSD Vortaq AB12345 Ultra 1TB", "Vortaq", None), ("2", "SSD Vortaq AB12345 1TB", "Vortaq", None), ("3", "Vortaq AB12345Ultra SSD 1TB", "Vortaq", None), ("4", "SSD 1TB Vortaq ab-12345", "Vortaq", None),
         ("5", "SSD Vortaq CD54321 Extreme 1TB", "Vortaq", "CD54321 Extreme"), ("6", "SSD Vortaq CD54321 1TB", "Vortaq", "CD54321"), ("7", "Vortaq CD54321 extreme 1TB SSD", "Vortaq", None),
-        ("8", "SSD Vortaq EF11111 Ultra 1TB", "Vortaq", None), ("9", "SSD Vortaq EF11111 1TB", "Vortaq", "EF11111 SSD"),
+        ("8", "SSD Vortaq EF11111 Ultra 1TB", "Vortaq", None), ("9", "SSD Vortaq EF11111 1TB", "Vortaq", "EF11111 SSD"), ("A", "SSD Gamer Vortaq EF11111 1TB", "Vortaq", None), ("B", "SSD Vortaq EF11111 Gamer 1TB", "Vortaq", None),
     ]
     members = listings.groups(spark.createDataFrame(common + data, "id string, title string, brand string, model string"), reference)
-    assert rows(listings.pairs(members)) == [("1", "3"), ("2", "4"), ("5", "7"), ("8", "9")]
+    assert rows(listings.pairs(members)) == [("1", "3"), ("2", "4"), ("5", "7"), ("9", "A"), ("9", "B"), ("A", "B")]
+
+
+#: Titles in the style of shops, with the item of each; "-" stands alone.
+SHOP = [
+    ("a400", "SSD Kingston A400 480GB SATA"), ("a400", "Kingston A400 SSD 480 GB 2.5"), ("a400tb", "SSD Kingston A400 1TB SATA"), ("990pro", "SSD Samsung 990 PRO 2TB M.2 PCIe Gen4 NVMe"), ("990pro", "Samsung SSD 990PRO 2TB NVMe M.2"),
+    ("990pro", "SSD 2TB Samsung 990 Pro M.2 2280"), ("990", "SSD Samsung 990 2TB"), ("evo", "SSD 870 EVO 500GB Samsung"), ("evo", "SSD Samsung 870 EVO 500GB SATA III 2.5"), ("qvo", "SSD 870 QVO 500GB Samsung"), ("qvo", "SSD Samsung 870 QVO 500GB"),
+    ("nv3", "SSD Kingston NV3 1TB M.2 2280"), ("nv3", "Kingston NV3 SSD M.2 NVMe 1TB"), ("5070ti", "Placa de Video RTX 5070 Ti 16GB GDDR7"), ("5070ti", "RTX 5070 Ti GDDR7 16GB Placa de Video"), ("5070", "Placa de Video RTX 5070 16GB"),
+    ("mx500", "SSD Crucial MX500 1TB"), ("mx500", "Crucial MX500 SSD 1TB SATA"), ("850x", "SSD WD Black SN850X 2TB"), ("850x", "WD Black SN850X SSD 2TB NVMe"), ("850", "SSD WD Black SN850 2TB"),
+    ("beast", "Kingston Fury Beast 16GB DDR4"), ("beast", "Kingston Fury Beast 16GB DDR4"), ("renegade", "Kingston Fury Renegade 16GB DDR4"), ("only", "Cadeira Escritorio"),
+]
+
+
+def test_titles_in_the_style_of_shops(spark, rows):
+    """Short codes, bare numbers, variants that are words, and titles without any code."""
+    brands = spark.createDataFrame([(1, "Kingston", None), (2, "Samsung", None), (3, "Crucial", None), (4, "WD", "WD")], "id int, name string, short string")
+    data = [(f"{i:02d}", t, None, None) for i, (_, t) in enumerate(SHOP)]
+    members = listings.groups(spark.createDataFrame(data, "id string, title string, brand string, model string"), brands)
+    assert members.count() == len(SHOP)
+    want = sorted((f"{i:02d}", f"{j:02d}") for i, (a, _) in enumerate(SHOP) for j, (b, _) in enumerate(SHOP) if i < j and a == b)
+    assert rows(listings.pairs(members)) == want
+
+
+def test_long_brand_names_are_found_in_titles(spark, rows):
+    brands = spark.createDataFrame([(1, "Casa das Memorias e Discos Ltda Sul", None)], "id int, name string, short string")
+    data = [("1", "SSD Casa das Memorias e Discos Ltda Sul AB12345 1TB", None, None), ("2", "SSD AB12345 1TB", "Casa das Memorias e Discos Ltda Sul", None), ("3", "SSD Outra AB12345 1TB", "Outra", None)]
+    assert rows(listings.pairs(listings.groups(spark.createDataFrame(data, "id string, title string, brand string, model string"), brands))) == [("1", "2")]
