@@ -52,7 +52,29 @@ _RESIDUE = [
     r"enable (javascript|js)|(ative o|precisa de) javascript|javascript is disabled|habilite cookies|habilitar scripts",
 ]
 
+_KINDS = ("placeholder", "placeholder", "empty", "filler", "error", "error", "script")
+_TITLES = r"""(SELECT id, trim(regexp_replace(lower(title), '[\s\x{00A0}\x{200B}]+', ' ', 'g')) AS t FROM raw_products)"""
+
+#: Words of documents and items: norm (kind, id, field, w).
+_NORM = r"""
+    norm AS (
+      SELECT kind, id, field, regexp_extract_all(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+               text, '<!--|-->|</?[a-zA-Z][a-zA-Z0-9]*(\s+[a-zA-Z-]+(\s*=\s*("[^"]*"|''[^'']*''|[^\s<>]+))?)*\s*/?>', ' ', 'g'), '&(nbsp|#160);', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;|&#39;|&apos;', ' ', 'g'), '&amp;', '&', 'g'))),
+               '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '[\p{L}\p{N}]+') AS w
+      FROM (SELECT 'doc' AS kind, doc_id AS id, NULL AS field, text FROM documents UNION ALL SELECT 'item', item_id, 'prompt', prompt FROM eval_items UNION ALL SELECT 'item', item_id, 'answer', answer FROM eval_items) x
+      WHERE text IS NOT NULL)"""
+
 SQL: dict[str, str] = {
+    "p6_kinds": f"""
+    SELECT kind, count(*) AS n FROM (SELECT DISTINCT id, CASE {" ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for p, k in zip(_RESIDUE, _KINDS, strict=True))} END AS kind FROM {_TITLES} x) y
+    WHERE kind IS NOT NULL GROUP BY kind""",
+    "p8_runs": f"""
+    WITH {_NORM},
+    gram AS (SELECT kind, id, field, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM norm WHERE len(w) >= 12) y),
+    hit AS (SELECT d.id AS doc_id, t.id AS item_id, t.field, d.i, t.i - d.i AS shift FROM gram d JOIN gram t ON d.g = t.g WHERE d.kind = 'doc' AND t.kind = 'item'),
+    island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, field, shift ORDER BY i) AS part FROM hit),
+    run AS (SELECT doc_id, item_id, field, count(*) + 11 AS run FROM island GROUP BY doc_id, item_id, field, shift, part)
+    SELECT doc_id, item_id, field, max(run)::INT AS run FROM run GROUP BY ALL""",
     "p2_found": rf"""{_ITEMS}
     SELECT x.id AS id_a, y.id AS id_b FROM t6 x JOIN t6 y ON x.item = y.item AND x.id < y.id""",
     "p2_groups": rf"""{_ITEMS}
@@ -60,13 +82,8 @@ SQL: dict[str, str] = {
     "p6_found": r"""
     SELECT DISTINCT id FROM (SELECT id, trim(regexp_replace(lower(title), '[\s\x{00A0}\x{200B}]+', ' ', 'g')) AS t FROM raw_products) x
     WHERE """ + " OR ".join(f"regexp_matches(t, '{p}')" for p in _RESIDUE),
-    "p8_found": r"""
-    WITH norm AS (
-      SELECT kind, id, regexp_extract_all(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-               text, '<!--|-->|</?[a-zA-Z][a-zA-Z0-9]*(\s+[a-zA-Z-]+(\s*=\s*("[^"]*"|''[^'']*''|[^\s<>]+))?)*\s*/?>', ' ', 'g'), '&(nbsp|#160);', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;|&#39;|&apos;', ' ', 'g'), '&amp;', '&', 'g'))),
-               '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '[\p{L}\p{N}]+') AS w
-      FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, prompt FROM eval_items UNION ALL SELECT 'item', item_id, answer FROM eval_items) x
-      WHERE text IS NOT NULL),
+    "p8_found": f"""
+    WITH {_NORM},
     gram AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS i FROM norm WHERE len(w) >= 12) y)
     SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM gram d JOIN gram t ON d.g = t.g WHERE d.kind = 'doc' AND t.kind = 'item'""",
     "p5_found": """
