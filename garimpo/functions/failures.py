@@ -23,6 +23,10 @@ def failure_class(message: Column, name: Column) -> Column:
     return out
 
 
+#: What a failure is called: its class.
+label = failure_class
+
+
 def should_retry(kind: Column, attempt: Column, most: int = 3) -> Column:
     return (attempt < most) & kind.isin("retriable", "transient")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def number(text: Column) -> Column:
     return F.when(F.regexp_like(y, F.lit(r"^(\d+\.?\d*|\.\d+)$")), y.try_cast("double"))
 
 
-def parse_price(text: Column) -> Column:
-    """The least amount after "R$" that is no instalment ("10x de R$ 99"); without one the greatest other number; else null."""
+def parse_price(text: Column, prefix: str = "R$") -> Column:
+    """The least amount after `prefix` that is no instalment ("10x de R$ 99"); without one the greatest other number; else null."""
     t = plain_spaces(text)
     value = lambda p: F.regexp_extract(p, r"^\s*([\d\s.,]+)", 1)
 
@@ -29,7 +31,7 @@ def parse_price(text: Column) -> Column:
         priced = F.transform(F.filter(after, lambda a: ~a["parts"] & ~a["times"] & (a["v"] != "")), lambda a: number(a["v"]))
         return F.array_min(F.filter(priced, lambda x: x > 0))
 
-    prefixed = let(F.split(t, r"(?i)r\$"), after_prefix)
+    prefixed = let(F.split(t, "(?i)" + re.escape(prefix)), after_prefix)
     after_times = F.regexp_replace(t, r"(?i)(\d\s*[x×]\s*(?:de\s*)?)\d[\d.,\s]*", "$1")
     loose = F.regexp_replace(after_times, r"(?i)\d[\d.,\s]*([x×])", "$1")
     other = F.array_max(F.filter(F.transform(F.regexp_extract_all(loose, F.lit(r"(\d[\d.,\s]*)"), F.lit(1)), number), lambda x: x > 0))
@@ -42,17 +44,23 @@ def stored_price(text: Column) -> Column:
     return F.coalesce(filled(F.regexp_extract(x, r"^(\d+\.?\d*|\.\d+)", 1)).try_cast("double"), F.lit(0.0))
 
 
-def current_price(price: Column, text: Column) -> Column:
+def price_in(text: Column, currency: Column | None) -> Column:
+    """The price a text states; amounts are marked with R$ in reais (BRL, or no `currency` given) and with $ otherwise."""
+    brl = parse_price(text)
+    return brl if currency is None else F.when(currency == "BRL", brl).otherwise(parse_price(text, "$"))
+
+
+def current_price(price: Column, text: Column, currency: Column | None = None) -> Column:
     """The price column where it is a finite number, else what the text says."""
     finite = price.isNotNull() & ~F.isnan(price) & (F.abs(price) != F.lit(float("inf")))
-    return F.when(finite, price).otherwise(F.coalesce(parse_price(text), F.when(price.isNotNull(), F.lit(0.0))))
+    return F.when(finite, price).otherwise(F.coalesce(price_in(text, currency), F.when(price.isNotNull(), F.lit(0.0))))
 
 
-def original_price(price: Column, text: Column) -> Column:
+def original_price(price: Column, text: Column, currency: Column | None = None) -> Column:
     """The greatest of several "R$" amounts of the text and the current price; the current price if there are no several."""
     amounts = F.regexp_extract_all(plain_spaces(text), F.lit(r"(?i)r\$\s*([\d.]+,\d{2}|\d+(?:\.\d+)?)"), F.lit(1))
     values = F.filter(F.transform(amounts, lambda a: F.replace(F.replace(a, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")), lambda v: v > 0)
-    now = current_price(price, text)
+    now = current_price(price, text, currency)
     return F.when(now.isNotNull() & (F.coalesce(F.size(values), F.lit(0)) > 1), F.greatest(F.array_max(values), now)).otherwise(now)
 
 

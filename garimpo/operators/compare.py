@@ -21,8 +21,12 @@ COMPATIBLE_FORM_FACTORS = ("M.2,2280", "2280,M.2", '2.5",SATA', 'SATA,2.5"')
 CORSAIR_RANKS = {"SFU": 1, "MP510": 2, "MP600": 3, "P5": 5}
 CAPACITY_TOLERANCE = 0.05
 
+#: Fields that are always judged, and the one that is judged where a side has it.
 FIELDS = ("manufacturerSku", "corsair", "brand", "model", "family", "capacity", "interface", "protocol", "pcieGeneration", "formFactor")
-#: What `compare` needs of each side.
+WARRANTY = "warranty"
+#: Months that two warranties may differ by.
+WARRANTY_TOLERANCE = 1
+#: What `compare` needs of each side; `warranty` (months) is optional.
 INPUTS = ("brand", "model", "family", "manufacturerSku", "capacityGB", "interface", "protocol", "pcieGeneration", "formFactor")
 
 
@@ -64,8 +68,12 @@ def capacity_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(F.abs(a - b).cast("double"), F.greatest(a, b).cast("double"))
 
 
-def statuses(left: str = "l", right: str = "r") -> Column:
-    """struct of the status of each of FIELDS; `corsair` is null unless both are Corsair devices with a part number."""
+def statuses(left: str = "l", right: str = "r", *, warranty: bool = False) -> Column:
+    """struct of the status of each of FIELDS and WARRANTY.
+
+    `corsair` is null unless both are Corsair devices with a part number, and `warranty` unless a side has one; without
+    the argument `warranty` the sides need no such field.
+    """
     of = lambda c: (filled(F.col(f"{left}.{c}")), filled(F.col(f"{right}.{c}")))
     raw = lambda c: (F.col(f"{left}.{c}"), F.col(f"{right}.{c}"))
     sku, brand, model, family, interface, protocol, form = (of(c) for c in ("manufacturerSku", "brand", "model", "family", "interface", "protocol", "formFactor"))
@@ -84,6 +92,8 @@ def statuses(left: str = "l", right: str = "r") -> Column:
     contained = F.when(F.size(words[0]) <= F.size(words[1]), within(words[0], words[1])).otherwise(within(words[1], words[0]))
     same_model = (models[0] == models[1]) | ((F.size(words[0]) > 0) & (F.size(words[1]) > 0) & contained)
     ways = [normal_interface(x) for x in interface]
+    months = raw(WARRANTY) if warranty else (F.lit(None).cast("int"),) * 2
+    by_warranty = F.when(months[0].isNotNull() | months[1].isNotNull(), _status(*months, F.abs(months[0] - months[1]) <= WARRANTY_TOLERANCE))
     upper = lambda p: [F.trim(F.upper(x)) for x in p]
     families, forms = upper(family), upper(form)
     return F.struct(
@@ -97,20 +107,24 @@ def statuses(left: str = "l", right: str = "r") -> Column:
         _status(*protocol, normal_interface(protocol[0]) == normal_interface(protocol[1]), soft=True).alias("protocol"),
         _status(*generation, F.abs(generation[0] - generation[1]) <= 1, soft=True).alias("pcieGeneration"),
         _status(*form, (forms[0] == forms[1]) | F.concat_ws(",", *forms).isin(*COMPATIBLE_FORM_FACTORS), soft=True).alias("formFactor"),
+        by_warranty.alias(WARRANTY),
     )
 
 
 def compare(pairs: DataFrame, left: str = "l", right: str = "r") -> DataFrame:
-    """pairs with `status` (struct of FIELDS), `confidence` and `verdict`.
+    """pairs with `status` (struct of FIELDS and WARRANTY), `confidence` and `verdict`.
 
-    `left` and `right` are struct columns with INPUTS. Where one of them is null the verdict is UNKNOWN with 0.5.
+    `left` and `right` are struct columns with INPUTS. Where both have `warranty` (months) as well, it is one more field
+    of the pairs that state one on either side. Where a side is null the verdict is UNKNOWN with 0.5.
     """
+    has = lambda side: WARRANTY in pairs.select(f"{side}.*").columns
+    warranty = has(left) and has(right)
     missing = F.col(left).isNull() | F.col(right).isNull()
     long_skus = (F.length(normal_sku(F.col(f"{left}.manufacturerSku"))) >= 6) & (F.length(normal_sku(F.col(f"{right}.manufacturerSku"))) >= 6)
 
     def score(s: Column) -> Column:
-        count = lambda value: sum((F.coalesce(s[f] == value, F.lit(False)).cast("int") for f in FIELDS[1:]), (s[FIELDS[0]] == value).cast("int"))
-        total = F.lit(9) + s["corsair"].isNotNull().cast("int")
+        count = lambda value: sum((F.coalesce(s[f] == value, F.lit(False)).cast("int") for f in (*FIELDS[1:], WARRANTY)), (s[FIELDS[0]] == value).cast("int"))
+        total = F.lit(9) + s["corsair"].isNotNull().cast("int") + s[WARRANTY].isNotNull().cast("int")
         share = (total - count("MISMATCH")).cast("double") / total.cast("double")
         return round2(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - count("UNKNOWN").cast("double") / total.cast("double") * F.lit(0.1))))
 
@@ -126,7 +140,7 @@ def compare(pairs: DataFrame, left: str = "l", right: str = "r") -> DataFrame:
         confidence = let(score(s), lambda raw: capped(s, raw))
         return let(confidence, lambda c: F.struct(s.alias("status"), c.alias("confidence"), verdict(c).alias("verdict")))
 
-    df = pairs.withColumn("__judged", F.when(~missing, let(statuses(left, right), judge)))
+    df = pairs.withColumn("__judged", F.when(~missing, let(statuses(left, right, warranty=warranty), judge)))
     judged = F.col("__judged")
     return df.withColumns({"status": judged["status"], "confidence": F.coalesce(judged["confidence"], F.lit(0.5)), "verdict": F.coalesce(judged["verdict"], F.lit("UNKNOWN"))}).drop("__judged")
 
@@ -184,6 +198,24 @@ def reasons(left: str = "l", right: str = "r") -> Column:
     return F.array_compact(rows)
 
 
+def warranty_reason(left: str = "l", right: str = "r") -> Column:
+    """The reason of the warranty rule, null for pairs without it. It belongs to the identical or differing fields, not to `reasons`."""
+    a, b = (F.col(f"{side}.{WARRANTY}") for side in (left, right))
+    st = F.col(f"status.{WARRANTY}")
+    show = lambda x: F.coalesce(F.concat(x.cast("string"), F.lit(" months")), F.lit("Unknown"))
+    # Texts of the rule.
+    why = F.when(a.isNull() | b.isNull(), "One warranty unknown").when(a == b, "Warranty match").when(st == "MATCH", "Warranty within tolerance").otherwise("Warranty mismatch")
+    row = F.struct(F.lit(WARRANTY).alias("field"), show(a).alias("leftValue"), show(b).alias("rightValue"), F.when(st == "MATCH", show(a)).alias("canonicalValue"), why.alias("reason"), st.alias("status"))
+    return F.when(st.isNotNull(), row)
+
+
+def evidence(rows: Column) -> Column:
+    """Reasons as the older matchers report them: array<struct<rule, left, right, matched, detail, status, canonicalValue>>."""
+    return F.transform(rows, lambda r: F.struct(
+        r["field"].alias("rule"), r["leftValue"].alias("left"), r["rightValue"].alias("right"), (r["status"] != "MISMATCH").alias("matched"), r["reason"].alias("detail"), r["status"].alias("status"), r["canonicalValue"].alias("canonicalValue"),
+    ))
+
+
 def fields_with(status: str, rows: Column) -> Column:
     """The reasons with a status: identical (MATCH), differing (MISMATCH) or unknown (UNKNOWN) fields."""
     return F.filter(rows, lambda r: r["status"] == status)

@@ -7,14 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.operators.compare import CAPACITY_TOLERANCE, INPUTS, capacity_ratio, compare, normal_brand
+from garimpo.operators.compare import CAPACITY_TOLERANCE, INPUTS, WARRANTY, capacity_ratio, compare, normal_brand
 
 #: Rows of a side that may be broadcast for an all-pairs comparison.
 BROADCAST_ROWS = 10_000
 
 
+def _facts(df: DataFrame) -> Column:
+    return F.struct(*INPUTS, *([WARRANTY] if WARRANTY in df.columns else []))
+
+
 def _side(df: DataFrame, name: str, keep: list[str]) -> DataFrame:
-    return df.select(F.struct(*INPUTS).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in keep])
+    return df.select(_facts(df).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in keep])
+
+
+def without_facts(normalized: DataFrame) -> DataFrame:
+    """Normalized rows as devices with brand and model only, for a comparison of normalized rather than canonical rows.
+
+    Fields that are absent on both sides count for a match, so rows of one brand with different models still match.
+    """
+    none = {c: F.lit(None).cast("int" if c in ("capacityGB", "pcieGeneration") else "string") for c in INPUTS if c not in ("brand", "model")}
+    return normalized.withColumns(none)
 
 
 def against(devices: DataFrame, catalogue: DataFrame, keep: list[str]) -> DataFrame:
@@ -53,9 +66,9 @@ def matching(devices: DataFrame, order: str, keep: list[str]) -> DataFrame:
     keep = list(dict.fromkeys([order, *keep]))
     usable = devices.filter(F.col("capacityGB").isNull() | (F.col("capacityGB") > 0))
     keyed = usable.withColumns({"__brand": F.coalesce(normal_brand(F.col("brand")), F.lit("")), "__bucket": F.coalesce(_bucket(F.col("capacityGB")), F.lit(-(1 << 40)))})
-    left = keyed.select(F.struct(*INPUTS).alias("l"), *[F.col(c).alias(f"l_{c}") for c in keep], "__brand", "__bucket")
+    left = keyed.select(_facts(keyed).alias("l"), *[F.col(c).alias(f"l_{c}") for c in keep], "__brand", "__bucket")
     spread = F.explode(F.array(*[F.col("__bucket") + d for d in (-2, -1, 0, 1, 2)])).alias("__bucket")
-    right = keyed.select(F.struct(*INPUTS).alias("r"), *[F.col(c).alias(f"r_{c}") for c in keep], F.col("__brand"), spread)
+    right = keyed.select(_facts(keyed).alias("r"), *[F.col(c).alias(f"r_{c}") for c in keep], F.col("__brand"), spread)
     near = F.col("l.capacityGB").isNull() | (capacity_ratio(F.col("l.capacityGB"), F.col("r.capacityGB")) <= CAPACITY_TOLERANCE)
     pairs = left.join(right, ["__brand", "__bucket"]).filter((F.col(f"l_{order}") < F.col(f"r_{order}")) & near).drop("__brand", "__bucket")
     return compare(pairs).filter(F.col("verdict").isin("IDENTICAL", "LIKELY_IDENTICAL"))

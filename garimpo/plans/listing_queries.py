@@ -132,6 +132,32 @@ def greedy_offers(spark: SparkSession, d: str) -> DataFrame:
     return pairs.offer_pairs(pairs.distinct_devices(_devices(spark, d), "listing_id"), "first")
 
 
+def product_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of normalized_products read from its title and price text again."""
+    df = table(spark, d, "normalized_products", "id", "provider", "originaltitle", "pricetext", "url")
+    df = df.select("provider", F.col("originaltitle").alias("title"), F.lit(None).cast("double").alias("price"), F.col("pricetext").alias("price_text"), "url", F.col("id").alias("ord"))
+    return pipeline.normalized(df).select(F.col("ord").alias("id"), "normalized_title", "brand", "model", "storage_capacity", "memory_capacity", "currency", "current_price", "original_price", "availability", "confidence")
+
+
+def _product_devices(spark: SparkSession, d: str) -> DataFrame:
+    return storage.canonical(table(spark, d, "normalized_products", "id", "originaltitle").withColumnRenamed("originaltitle", "title"))
+
+
+def product_devices(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of every row of normalized_products."""
+    return _product_devices(spark, d).select("id", *compare.INPUTS)
+
+
+def warranty_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Different devices of normalized_products with the warranty their titles state, against a catalogue with warranties."""
+    t = F.lower("title")
+    n, unit = F.regexp_extract(t, r"garantia (?:de )?(\d{1,2}) (?:anos?|mes|mês)", 1), F.regexp_extract(t, r"garantia (?:de )?\d{1,2} (anos?|mes|mês)", 1)
+    months = F.when(n != "", n.try_cast("int") * F.when(unit.startswith("ano"), 12).otherwise(1))
+    df = _product_devices(spark, d).withColumn("warranty", months).groupBy(*compare.INPUTS, "warranty").agg(F.min("id").alias("item"))
+    catalogue = _catalogue(spark).withColumn("warranty", (F.col("item") % 4 * 12).cast("int"))
+    return pairs.against(df, catalogue, ["item"]).select(F.col("l_item").alias("first"), F.col("r_item").alias("item"), "verdict", "confidence", F.col("status.warranty").alias("is_warranty"))
+
+
 def match_quality(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts against the catalogue, taking equal brand, model and capacity as the truth.
 
@@ -315,7 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         clean_titles, title_attributes, title_models, listing_capacities, parsed_prices, listing_prices, canonical_devices, flat_devices, compare_catalogue, compare_distinct,
-        matching_devices, comparison_reports, field_matchers, greedy_offers, match_quality, relevance_scores, relevant_listings, search_statistics, deduplicated, raw_deduplicated,
+        matching_devices, comparison_reports, field_matchers, greedy_offers, match_quality, product_rows, product_devices, warranty_pairs, relevance_scores, relevant_listings, search_statistics, deduplicated, raw_deduplicated,
         first_titles, shop_listings, provider_union, provider_summary, brand_prices, listing_validity, page_overlap, run_statistics, query_statistics, page_success, engine_deltas,
         failure_classes, failure_pivot, failure_distribution, search_urls, search_pages, page_cards, search_rows, table_counts, search_states, listing_rollup,
     )

@@ -84,15 +84,21 @@ def original_price(now: str, x: str) -> str:
     return f"CASE WHEN {now} IS NOT NULL AND len({vs}) > 1 THEN greatest(list_max({vs}), {now}) ELSE {now} END"
 
 
-_MODEL = f"""
-    SELECT listing_id, CASE WHEN clean <> '' THEN coalesce(
+def model(source: str, key: str) -> str:
+    """The model of each row of a relation (key, title)."""
+    return f"""
+    SELECT {key}, CASE WHEN clean <> '' THEN coalesce(
         CASE WHEN b IS NULL OR lower(m1) <> fw THEN m1 END, CASE WHEN b IS NULL OR lower(m2) <> fw THEN m2 END, CASE WHEN b IS NULL OR lower(m3) <> fw THEN m3 END,
         CASE WHEN b IS NULL OR lower(m4) <> fw THEN m4 END, CASE WHEN length(rest) > 0 AND length(rest) < 60 THEN rest END,
         list_filter(regexp_split_to_array(clean, '\\s+'), lambda t: length(t) >= 2 AND regexp_matches(t, '\\d'))[1], clean) END AS model
     FROM (SELECT *, lower(string_split(b, ' ')[1]) AS fw, CASE WHEN strpos(clean, b) > 0 THEN trim(substring(clean, strpos(clean, b) + length(b))) END AS rest,
             trim({first("clean", r"\b(GeForce\s+(?:RTX|GTX)\s*\d+(?:\s*Ti)?(?:\s+\w+)?)", 1, "i")}) AS m1, trim({first("clean", r"\b(Ryzen\s+(?:\d+\s*\S+|9\s+\d+\S*))", 1, "i")}) AS m2,
             trim({first("clean", r"\b(Core\s+(?:i\d|3|5|7|9)[\s.\d\-IX]+)", 1, "i")}) AS m3, trim({first("clean", r"\b([A-Z]\d{2,4}[A-Z]?)")}) AS m4
-          FROM (SELECT listing_id, {clean("title")} AS clean, {brand("title")} AS b FROM {L} l) x) y"""
+          FROM (SELECT {key}, {clean("title")} AS clean, {brand("title")} AS b FROM ({source}) l) x) y"""
+
+
+_MODEL = model(f"SELECT listing_id, title FROM {L} l", "listing_id")
+PRODUCTS = "SELECT id, originaltitle AS title, provider, pricetext, currency, url FROM normalized_products"
 
 
 def canonical(source: str) -> str:
@@ -150,8 +156,8 @@ def _status(c: str, same: str, one: str) -> str:
     return f"CASE WHEN l_{c} IS NULL AND r_{c} IS NULL THEN 'UNKNOWN' WHEN l_{c} IS NULL OR r_{c} IS NULL THEN '{one}' WHEN {same} THEN 'MATCH' ELSE 'MISMATCH' END"
 
 
-def judged(pairs: str) -> str:
-    """Statuses, confidence and verdict of a relation with l_... and r_... columns."""
+def judged(pairs: str, warranty: bool = False) -> str:
+    """Statuses, confidence and verdict of a relation with l_... and r_... columns, `warranty` among them if asked for."""
     ratio = "abs(l_capacityGB - r_capacityGB)::DOUBLE / nullif(greatest(l_capacityGB, r_capacityGB), 0)::DOUBLE"
     statuses = {
         "manufacturerSku": f"CASE WHEN l_manufacturerSku IS NOT NULL AND r_manufacturerSku IS NOT NULL AND ls <> rs AND (length(ls) < 6 OR length(rs) < 6) THEN 'UNKNOWN' ELSE {_status('manufacturerSku', 'ls = rs', 'MISMATCH')} END",
@@ -165,6 +171,8 @@ def judged(pairs: str) -> str:
         "pcieGeneration": _status("pcieGeneration", "abs(l_pcieGeneration - r_pcieGeneration) <= 1", "UNKNOWN"),
         "formFactor": _status("formFactor", "trim(upper(l_formFactor)) = trim(upper(r_formFactor))", "UNKNOWN"),
     }
+    extra = "CASE WHEN coalesce(l_warranty, r_warranty) IS NULL THEN NULL WHEN abs(l_warranty - r_warranty) <= 1 THEN 'MATCH' ELSE 'MISMATCH' END" if warranty else "NULL::VARCHAR"
+    statuses["warranty"] = extra
     is_ = [f"is_{f}" for f in statuses]
     count = lambda v: " + ".join(f"coalesce(({c} = '{v}')::INT, 0)" for c in is_)
     return f"""
@@ -172,7 +180,7 @@ def judged(pairs: str) -> str:
     FROM (SELECT *, CASE WHEN is_brand = 'MISMATCH' OR ((is_manufacturerSku = 'MISMATCH' OR is_corsair = 'MISMATCH') AND length(ls) >= 6 AND length(rs) >= 6) THEN least(raw, 0.39::DOUBLE)
               WHEN is_capacity = 'MISMATCH' OR (is_manufacturerSku <> 'MATCH' AND coalesce(is_corsair, '') <> 'MATCH' AND is_model = 'MISMATCH' AND is_family = 'MISMATCH') THEN least(raw, 0.69::DOUBLE) ELSE raw END AS confidence
           FROM (SELECT *, floor(greatest(0::DOUBLE, least(1::DOUBLE, (total - bad)::DOUBLE / total::DOUBLE - open::DOUBLE / total::DOUBLE * 0.1::DOUBLE)) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS raw
-                FROM (SELECT *, 9 + (is_corsair IS NOT NULL)::INT AS total, {count("MISMATCH")} AS bad, {count("UNKNOWN")} AS open
+                FROM (SELECT *, 9 + (is_corsair IS NOT NULL)::INT + (is_warranty IS NOT NULL)::INT AS total, {count("MISMATCH")} AS bad, {count("UNKNOWN")} AS open
                       FROM (SELECT *, {", ".join(f"{x} AS is_{f}" for f, x in statuses.items())}
                             FROM (SELECT *, [x FOR x IN string_split(lm, ' ') IF x <> ''] AS lw, [x FOR x IN string_split(rm, ' ') IF x <> ''] AS rw
                                   FROM (SELECT *, {_B("l")} AS lb, {_B("r")} AS rb, {_S("l")} AS ls, {_S("r")} AS rs, {_I("l", "interface")} AS li, {_I("r", "interface")} AS ri, {_M("l")} AS lm, {_M("r")} AS rm
@@ -193,11 +201,65 @@ def _catalogue_rows(rows: tuple) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(t)})" for i, t in rows) + ") v(item, title)"
 
 
+def _reason(field: str, status: str, left: str, right: str, both: str, one: str, match: str, mismatch: str, named: bool = False) -> str:
+    show = lambda x: f"coalesce({x}, 'Unknown')" if named else f"CASE WHEN {left} IS NULL AND {right} IS NULL THEN 'Unknown' ELSE {x} END"
+    why = f"CASE WHEN {left} IS NULL AND {right} IS NULL THEN '{both}' WHEN {left} IS NULL OR {right} IS NULL THEN '{one}' WHEN {status} = 'MATCH' THEN {match} ELSE {mismatch} END"
+    return f"{{'f': '{field}', 'l': {show(left)}, 'r': {show(right)}, 'c': CASE {status} WHEN 'MATCH' THEN coalesce({left}, {right}) WHEN 'UNKNOWN' THEN 'Unknown' END, 'w': {why}, 's': {status}}}"
+
+
+def reported(pairs: str) -> str:
+    """(first, item, report) of judged pairs with first and item."""
+    ratio = "abs(l_capacityGB - r_capacityGB)::DOUBLE / nullif(greatest(l_capacityGB, r_capacityGB), 0)::DOUBLE"
+    short = lambda x: f"regexp_replace(({x})::VARCHAR, '\\.0$', '')"
+    ways = "li || ',' || ri IN ('NVME,M.2', 'M.2,NVME', 'PCIE,M.2', 'M.2,PCIE', 'PCIE,NVME', 'NVME,PCIE')"
+    # Texts of the reasons.
+    rows = [
+        _reason("manufacturerSku", "is_manufacturerSku", "l_manufacturerSku", "r_manufacturerSku", "Both SKUs unknown", "One SKU unknown", "'SKU match'", "CASE WHEN is_manufacturerSku = 'UNKNOWN' THEN 'Short SKU token not decisive' ELSE 'SKU mismatch' END"),
+        """CASE WHEN is_corsair IS NOT NULL THEN {'f': 'manufacturerSku', 'l': l_manufacturerSku, 'r': r_manufacturerSku, 'c': is_corsair, 'w': CASE WHEN ls = rs THEN 'Corsair SKU exact match' WHEN is_corsair = 'MATCH' THEN 'Corsair submodel proximity'
+           WHEN regexp_matches(ls, 'SFU|MP510|MP600|P5') AND regexp_matches(rs, 'SFU|MP510|MP600|P5') THEN 'Corsair submodel mismatch' ELSE 'Corsair SKU comparison' END, 's': is_corsair} END""",
+        _reason("brand", "is_brand", "l_brand", "r_brand", "Both brands unknown", "One brand unknown", "CASE WHEN lb <> trim(upper(l_brand)) OR rb <> trim(upper(r_brand)) THEN 'Brand alias match' ELSE 'Brand match' END", "'Brand mismatch'"),
+        _reason("model", "is_model", "l_model", "r_model", "Both models unknown", "One model unknown", "'Model token match'", "'Model mismatch'"),
+        _reason("family", "is_family", "l_family", "r_family", "Both families unknown", "One family unknown", "'Family match'", "'Family mismatch (' || trim(upper(l_family)) || ' != ' || trim(upper(r_family)) || ')'"),
+        _reason("capacity", "is_capacity", "(l_capacityGB || 'GB')", "(r_capacityGB || 'GB')", "Both capacities unknown", "One capacity unknown", f"CASE WHEN {ratio} = 0 THEN 'Capacity match' ELSE 'Capacity match (within 5% tolerance)' END",
+                f"'Capacity mismatch (' || l_capacityGB || 'GB vs ' || r_capacityGB || 'GB, diff=' || {short(f'floor({ratio} * 100::DOUBLE * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE')} || '%)'", True),
+        _reason("interface", "is_interface", "l_interface", "r_interface", "Both interfaces unknown", "One interface unknown", f"CASE WHEN {ways} THEN 'Interface compatible (' || li || '/ ' || ri || ')' ELSE 'Interface match' END", "'Interface mismatch'", True),
+        _reason("protocol", "is_protocol", "l_protocol", "r_protocol", "Both protocols unknown", "One protocol unknown", "'Protocol match'", "'Protocol mismatch'", True),
+        _reason("pcieGeneration", "is_pcieGeneration", "('Gen' || l_pcieGeneration)", "('Gen' || r_pcieGeneration)", "Both PCIe generations unknown", "One PCIe generation unknown", "CASE WHEN l_pcieGeneration = r_pcieGeneration THEN 'PCIe generation match' ELSE 'Adjacent PCIe generation' END", "'Different PCIe generation'", True),
+        _reason("formFactor", "is_formFactor", "l_formFactor", "r_formFactor", "Both form factors unknown", "One form factor unknown", "'Form factor match'", "'Form factor mismatch'", True),
+    ]
+    part = lambda status, text, none: f"coalesce(nullif(array_to_string([{text} FOR x IN rs_ IF x.s = '{status}'], chr(10)), ''), '{none}')"
+    value = lambda x: f"coalesce({x}, 'null')"
+    all_ = f"array_to_string([i || '. **' || rs_[i].f || '** — status=' || rs_[i].s || ', left=' || {value('rs_[i].l')} || ', right=' || {value('rs_[i].r')} || ', canonical=' || {value('rs_[i].c')} FOR i IN range(1, len(rs_) + 1)], chr(10))"
+    lines = [
+        "'# Product Comparison Report'", "''", f"'## Verdict: ' || verdict || ' (confidence: ' || {short('confidence')} || ')'", "''", "'## Identical Specifications'",
+        part("MATCH", f"'- **' || x.f || '**: ' || {value('x.c')} || ' (' || x.w || ')'", "- None"), "''", "'## Differing Specifications'",
+        part("MISMATCH", f"'- **' || x.f || '**: ' || {value('x.l')} || ' vs ' || {value('x.r')} || ' (' || x.w || ')'", "- None"), "''", "'## Unknown Specifications'",
+        part("UNKNOWN", "'- **' || x.f || '**: ' || x.w", "- None (all fields resolved)"), "''", "'## All ComparisonReason Objects'", "''", all_, "''",
+    ]
+    return f"SELECT first, item, {' || chr(10) || '.join(lines)} AS report FROM (SELECT *, [x FOR x IN [{', '.join(rows)}] IF x IS NOT NULL] AS rs_ FROM ({pairs}) j) k"
+
+
+def greedy(pairs: str, alone: str, key: str) -> str:
+    """Offers from judged pairs (first, second, verdict, confidence): taken in order while both sides are free; then rows of `alone`."""
+    return f"""
+    WITH RECURSIVE m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first, second) AS n FROM ({pairs}) p WHERE verdict IN ('IDENTICAL', 'LIKELY_IDENTICAL')),
+    g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS hit
+          UNION ALL SELECT g.n + 1, CASE WHEN list_contains(g.used, m.first) OR list_contains(g.used, m.second) THEN g.used ELSE list_concat(g.used, [m.first, m.second]) END,
+                           CASE WHEN list_contains(g.used, m.first) OR list_contains(g.used, m.second) THEN NULL ELSE m.n END
+          FROM g JOIN m ON m.n = g.n + 1),
+    t AS (SELECT m.first, m.second, m.verdict, m.confidence FROM m JOIN g ON m.n = g.hit)
+    SELECT * FROM t UNION ALL SELECT {key}, NULL, 'UNKNOWN', 0.5::DOUBLE FROM ({alone}) a WHERE {key} NOT IN (SELECT first FROM t UNION ALL SELECT second FROM t)"""
+
+
 def build(catalogue: tuple, messages: tuple, query: str, categories: tuple) -> dict[str, str]:
     """SQL by query name; the arguments are the constants of the queries."""
     cat = canonical(_catalogue_rows(catalogue))
     against = judged(f"SELECT d.first AS first, d.n AS n, c.item AS item, {_side('l', 'd')}, {_side('r', 'c')} FROM ({_DISTINCT}) d CROSS JOIN ({cat}) c")
     every = judged(f"SELECT d.listing_id AS listing_id, c.item AS item, {_side('l', 'd')}, {_side('r', 'c')} FROM ({_CANON}) d CROSS JOIN ({cat}) c")
+    months = "CASE WHEN n <> '' THEN n::INT * CASE WHEN starts_with(u, 'ano') THEN 12 ELSE 1 END END AS warranty"
+    with_months = lambda source: f"SELECT *, {months} FROM (SELECT *, regexp_extract(lower(title), 'garantia (?:de )?([0-9]{{1,2}}) (?:anos?|mes|mês)', 1) AS n, regexp_extract(lower(title), 'garantia (?:de )?[0-9]{{1,2}} (anos?|mes|mês)', 1) AS u FROM ({source}) w0) w1"
+    guaranteed = f"SELECT {', '.join(INPUTS)}, warranty, min(id) AS first FROM ({with_months(canonical(PRODUCTS))}) c GROUP BY ALL"
+    warranties = judged(f"SELECT d.first AS first, c.item AS item, d.warranty AS l_warranty, 12 * (c.item % 4) AS r_warranty, {_side('l', 'd')}, {_side('r', 'c')} FROM ({guaranteed}) d CROSS JOIN ({cat}) c", warranty=True)
     failed = f"""(SELECT event_id, ts, [{", ".join(map(_quote, messages))}][event_id % {len(messages)} + 1] AS message, ['Error', 'TimeoutError', 'TypeError'][event_id % 3 + 1] AS name FROM events WHERE event_type = 'error')"""
     kind = """CASE WHEN regexp_matches(message, '(?i)busy|try again|temporary|unavailable|refused') THEN 'transient'
         WHEN regexp_matches(message, '(?i)timeout|timed out|network|net::|cloudflare|403|429|rate limit|session|page') THEN 'retriable'
@@ -248,6 +310,13 @@ def build(catalogue: tuple, messages: tuple, query: str, categories: tuple) -> d
             conf_brand, conf_model, "conf_capacityGB", conf_interface, conf_protocol, "conf_pcieGeneration", "conf_formFactor", "conf_manufacturerSku", conf_overall FROM ({_SURE}) s""",
         "flat_devices": f"""SELECT listing_id, coalesce(brand, 'Unknown') AS brand, coalesce(model, 'Unknown') AS model, family, coalesce(capacityGB::DOUBLE, capacityTB) AS capacity, CASE WHEN capacityTB <> 0 THEN 'TB' ELSE 'GB' END AS "capacityUnit", conf_overall AS overall FROM ({_SURE}) s""",
         "compare_catalogue": f"SELECT listing_id, item, verdict, confidence, is_manufacturerSku AS \"is_manufacturerSku\", is_corsair, is_brand, is_model, is_family, is_capacity, is_interface, is_protocol, is_pcieGeneration AS \"is_pcieGeneration\", is_formFactor AS \"is_formFactor\" FROM ({every}) e",
+        "comparison_reports": reported(against),
+        "greedy_offers": greedy(f"SELECT first, second, verdict, confidence FROM ({_SELF}) s", _DISTINCT, "first"),
+        "warranty_pairs": f"SELECT first, item, verdict, confidence, is_warranty FROM ({warranties}) w",
+        "product_rows": f"""SELECT p.id, {clean("title")} AS normalized_title, {brand("title")} AS brand, m.model, {storage_capacity("title")} AS storage_capacity, {memory_capacity("title")} AS memory_capacity, 'BRL' AS currency,
+            {parse_price("pricetext")} AS current_price, {original_price(parse_price("pricetext"), "pricetext")} AS original_price, {availability("title", "pricetext", "provider")} AS availability, 1.0::DOUBLE AS confidence
+            FROM ({PRODUCTS}) p JOIN ({model(PRODUCTS, "id")}) m ON p.id = m.id""",
+        "product_devices": f"""SELECT id, brand, model, family, manufacturerSku AS "manufacturerSku", capacityGB AS "capacityGB", interface, protocol, pcieGeneration AS "pcieGeneration", formFactor AS "formFactor" FROM ({canonical(PRODUCTS)}) c""",
         "compare_distinct": f"SELECT first, second, verdict, confidence FROM ({_SELF}) s",
         "matching_devices": f"SELECT first, second, verdict, confidence, listing_pairs FROM ({_SELF}) s WHERE verdict IN ('IDENTICAL', 'LIKELY_IDENTICAL')",
         "field_matchers": f"""SELECT first, item, {legacy("manufacturerSku", "regexp_replace(upper(l_manufacturerSku), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(r_manufacturerSku), '[^A-Z0-9]', '', 'g')")} AS sku,

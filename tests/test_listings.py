@@ -156,3 +156,28 @@ def test_pages(spark, rows):
     assert rows(pages.marked_cards(page(marked)), "title", "price_text", "url") == [("T & U", "R$ 1", "/x"), (None, None, "/y")]
     assert rows(pages.plain_cards(page(plain), "page"), "title", "price_text", "url") == [("Placa muito boa demais", "R$ 100,00", "/produto/1")]
     assert rows(pages.listed_cards(page(listed), "shop.example"), "title", "price_text", "url") == [("A", "R$ 3", "https://shop.example/2")]
+
+
+def test_warranty_is_compared_where_a_side_states_one(spark):
+    one = devices(spark, [("1", "SSD Corsair MP600 1TB PCIe Gen4 NVMe")])
+    with_months = lambda *m: one.withColumn("warranty", F.explode(F.array(*[F.lit(x).cast("int") for x in m])))
+    got = {(r.l.warranty, r.r.warranty): (r.status.warranty, r.verdict, r.confidence) for r in pairs.against(with_months(36, None), with_months(36, 37, 60, None), ["id"]).collect()}
+    plain = pairs.against(one, one, ["id"]).first()
+    assert got[36, 36][0] == got[36, 37][0] == "MATCH" and got[36, 60][0] == got[36, None][0] == got[None, 60][0] == "MISMATCH" and got[None, None][0] is None
+    assert got[None, None][2] == plain.confidence and got[36, 36][2] >= plain.confidence > got[36, 60][2]
+    texts = pairs.against(with_months(36), with_months(37, 60, None), ["id"]).select(compare.warranty_reason().alias("w")).collect()
+    assert sorted((r.w.leftValue, r.w.rightValue, r.w.reason, r.w.canonicalValue) for r in texts if r.w) == [("36 months", "37 months", "Warranty within tolerance", "36 months"), ("36 months", "60 months", "Warranty mismatch", None), ("36 months", "Unknown", "One warranty unknown", None)]
+    rows = pairs.against(one, one, ["id"]).withColumn("e", compare.evidence(compare.reasons())).first().e
+    assert rows[0].rule == "manufacturerSku" and all(e.matched == (e.status != "MISMATCH") for e in rows)
+
+
+def test_other_currencies(spark):
+    read = lambda text, currency: value(spark, prices.current_price(F.lit(None).cast("double"), F.lit(text), F.lit(currency)))
+    assert read("$ 20 ou R$ 99,90", "BRL") == 99.9 and read("$ 20 e 300 pecas", "USD") == 20.0 and value(spark, prices.parse_price(F.lit("US$ 7,50 em 3x de US$ 2,50"), "US$")) == 7.5
+
+
+def test_offers_on_normalized_rows(spark):
+    """Rows of one brand match whatever their models if only brand and model are compared."""
+    df = spark.createDataFrame([(1, "Samsung", "870"), (2, "Samsung", "990"), (3, "Kingston", "A400")], "ord int, brand string, model string")
+    got = sorted((r.first, r.second) for r in pairs.offer_pairs(pairs.without_facts(df), "ord").collect())
+    assert got == [(1, 2), (3, None)]
