@@ -5,13 +5,16 @@ entry's threshold, which is the least BM25 score any run of `RUN` of its words c
 therefore scores at least 1, and everything that scores at least 1 is retrieved: the search loses nothing.
 
 Search: every document is cut into passages of 2*RUN words that overlap by RUN, so each run lies wholly in one of them.
-A passage whose terms' greatest weights can't sum up to 1 is skipped; the others walk the postings of their terms with
-block-max WAND: entries are passed over while the upper bounds of the lists, then of the current blocks, stay under 1.
+A passage whose terms' greatest weights can't sum up to 1 is skipped (all passages of a document at once). The others are
+searched with block-max WAND: entries are numbered in blocks, each list has the greatest weight of every block, and only in
+blocks where these upper bounds sum up to 1 postings are read and scored. Bounds and scores are taken over whole
+arrays, not pivot by pivot.
 
-Verification: the words of a retrieved passage must share a run of RUN consecutive words with the entry.
+Verification: the words of a retrieved passage must share a run of RUN consecutive words with the entry. Runs are found
+by their hashes and compared word by word.
 
-The index is built from the items only and is sent to the executors in shards of at most `SHARD_TERMS` postings; more items
-mean more shards, each searched in turn. The corpus is read once per shard and is not shuffled.
+The index is built from the items only, on the driver, and the arrays are sent to the executors, in shards of at most
+`SHARD_TERMS` postings; more items mean more shards, each searched in turn. The corpus is read once per shard and is not shuffled.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 RUN = 12
 #: BM25 parameters.
 K1, B = 1.2, 0.75
-#: Postings in a block.
+#: Entries in a block.
 BLOCK = 16
 #: Postings in a shard of the index (about 100 bytes each on an executor).
 SHARD_TERMS = 2_000_000
@@ -59,6 +62,14 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _window_hashes(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of RUN numbers."""
+    if len(ids) < RUN:
+        return np.zeros(0, dtype=np.uint64)
+    factors = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, RUN + 1, dtype=np.uint64)
+    return (np.lib.stride_tricks.sliding_window_view(ids.astype(np.uint64) + np.uint64(1), RUN) * factors).sum(axis=1, dtype=np.uint64)
+
+
 class Index:
     """Block-max inverted index of entries (item, field, words)."""
 
@@ -70,72 +81,38 @@ class Index:
         df = Counter(t for x in ids for t in set(x))
         idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         lists: dict[int, list[tuple[int, float]]] = {t: [] for t in df}
-        self.runs: list[set[tuple[int, ...]]] = []
-        self.ids = ids
+        self.ids = [np.array(x, dtype=np.int64) for x in ids]
+        self.runs = [np.unique(_window_hashes(x)) for x in self.ids]
         for e, x in enumerate(ids):
             weight = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x) / mean)) for t, c in Counter(x).items()}
             windows = [x[k : k + RUN] for k in range(len(x) - RUN + 1)]
-            self.runs.append({tuple(w) for w in windows})
             least = min((sum(weight[t] for t in set(w)) for w in windows), default=0.0)
             if least > 0:
                 for t, w in weight.items():
                     lists[t].append((e, w / least * (1 + 1e-9)))
-        self.docs = {t: np.array([e for e, _ in x], dtype=np.int64) for t, x in lists.items()}
-        self.weights = {t: np.array([w for _, w in x]) for t, x in lists.items()}
-        self.blocks = {t: [float(w[k : k + BLOCK].max()) for k in range(0, len(w), BLOCK)] for t, w in self.weights.items()}
-        self.greatest = np.array([self.weights[t].max() if len(self.weights[t]) else 0.0 for t in range(len(self.vocabulary))] + [0.0])
+        terms = len(self.vocabulary)
+        self.docs = [np.array([e for e, _ in lists[t]], dtype=np.int64) for t in range(terms)]
+        self.weights = [np.array([w for _, w in lists[t]]) for t in range(terms)]
+        # The blocks of each list, and its greatest weight in each.
+        self.blocks = [np.unique(d // BLOCK) for d in self.docs]
+        self.greatest_in = [np.array([w[d // BLOCK == k].max() for k in b]) for d, w, b in zip(self.docs, self.weights, self.blocks, strict=True)]
+        self.greatest = np.array([w.max() if len(w) else 0.0 for w in self.weights] + [0.0])
 
     def search(self, terms: Iterable[int]) -> list[tuple[int, float]]:
         """Entries that score at least 1 for a set of terms, with their scores: block-max WAND over all postings lists."""
-        lists = [[self.docs[t], self.weights[t], self.blocks[t], 0, float(self.greatest[t])] for t in terms if len(self.docs[t])]
-        found: list[tuple[int, float]] = []
-        end = len(self.entries)
-        at = lambda x: int(x[0][x[3]]) if x[3] < len(x[0]) else end
-
-        def skip(x: list, target: int) -> None:
-            x[3] += int(np.searchsorted(x[0][x[3] :], target))
-
-        while True:
-            lists.sort(key=at)
-            bound, pivot = 0.0, -1
-            for k, x in enumerate(lists):
-                if at(x) == end:
-                    break
-                bound += x[4]
-                if bound >= 1:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return found
-            d = at(lists[pivot])
-            while pivot + 1 < len(lists) and at(lists[pivot + 1]) == d:
-                pivot += 1
-            # Block bounds: of the blocks that hold d or would, in each list up to the pivot.
-            blocks, nearest = 0.0, end
-            for x in lists[: pivot + 1]:
-                k = x[3] + int(np.searchsorted(x[0][x[3] :], d))
-                if k < len(x[0]):
-                    blocks += x[2][k // BLOCK]
-                    last = min((k // BLOCK + 1) * BLOCK, len(x[0])) - 1
-                    nearest = min(nearest, int(x[0][last]) + 1)
-            if blocks < 1:
-                # No entry up to the end of the nearest block, or up to the next list's entry, can reach 1.
-                following = at(lists[pivot + 1]) if pivot + 1 < len(lists) else end
-                target = max(d + 1, min(nearest, following))
-                for x in lists[: pivot + 1]:
-                    skip(x, target)
-                continue
-            if at(lists[0]) == d:
-                score = 0.0
-                for x in lists[: pivot + 1]:
-                    score += float(x[1][x[3]])
-                    x[3] += 1
-                if score >= 1:
-                    found.append((d, score))
-            else:
-                for x in lists[:pivot]:
-                    if at(x) < d:
-                        skip(x, d)
+        terms = [t for t in terms if len(self.docs[t])]
+        if not terms:
+            return []
+        bounds = np.bincount(np.concatenate([self.blocks[t] for t in terms]), np.concatenate([self.greatest_in[t] for t in terms]), len(self.entries) // BLOCK + 1)
+        live = bounds >= 1
+        if not live.any():
+            return []
+        docs, weights = np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.weights[t] for t in terms])
+        if not live.all():
+            kept = live[docs // BLOCK]
+            docs, weights = docs[kept], weights[kept]
+        scores = np.bincount(docs, weights)
+        return [(int(e), float(scores[e])) for e in np.flatnonzero(scores >= 1)]
 
     def leaks(self, text: str | None) -> dict[tuple[int, str], int]:
         """For a document: (item, field) with a common run, and the words of the longest one."""
@@ -145,18 +122,28 @@ class Index:
         get, none = self.vocabulary.get, len(self.vocabulary)
         seq = np.fromiter((get(w, none) for w in ws), dtype=np.int64, count=len(ws))
         bounds = np.concatenate([[0.0], np.cumsum(self.greatest[seq])])
+        starts = np.arange(0, max(1, len(seq) - RUN + 1), RUN)
+        stops = np.minimum(starts + 2 * RUN, len(seq))
+        # Repeated terms count twice here, so this bound is never below the one of the set.
+        possible = np.flatnonzero(bounds[stops] - bounds[starts] >= 1)
+        if not len(possible):
+            return {}
+        hashes = _window_hashes(seq)
         found: dict[tuple[int, str], int] = {}
-        for start in range(0, max(1, len(seq) - RUN + 1), RUN):
-            stop = min(start + 2 * RUN, len(seq))
-            # Repeated terms count twice here, so this bound is never below the one of the set.
-            if bounds[stop] - bounds[start] < 1:
-                continue
-            passage = seq[start:stop].tolist()
-            for e, _ in self.search({t for t in passage if t != none}):
-                runs = self.runs[e]
-                if any(tuple(passage[k : k + RUN]) in runs for k in range(len(passage) - RUN + 1)):
-                    found.setdefault(self.entries[e], e)
-        return {key: self._longest(seq.tolist(), self.ids[e]) for key, e in found.items()}
+        for start, stop in zip(starts[possible].tolist(), stops[possible].tolist(), strict=True):
+            terms = set(seq[start:stop].tolist()) - {none}
+            for e, _ in self.search(terms):
+                if self.entries[e] not in found and self._common(seq, hashes[start : stop - RUN + 1], start, e):
+                    found[self.entries[e]] = e
+        return {key: self._longest(seq.tolist(), self.ids[e].tolist()) for key, e in found.items()}
+
+    def _common(self, seq: np.ndarray, hashes: np.ndarray, start: int, e: int) -> bool:
+        """Whether a window of the passage (its hashes, from `start` on) is a run of entry e."""
+        for k in np.flatnonzero(np.isin(hashes, self.runs[e])).tolist():
+            window, ids = seq[start + k : start + k + RUN], self.ids[e]
+            if (np.lib.stride_tricks.sliding_window_view(ids, RUN) == window).all(axis=1).any():
+                return True
+        return False
 
     @staticmethod
     def _longest(a: list[int], b: list[int]) -> int:
@@ -203,10 +190,10 @@ def leaked(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("p
     rows = ((r[0], dict(zip(fields, r[1:], strict=True))) for r in items.select(item_id, *fields).toLocalIterator())
     out: DataFrame | None = None
     for shard in shards(rows):
-        index = spark.sparkContext.broadcast(shard)
+        index = spark.sparkContext.broadcast(Index(shard))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            built = Index(index.value)
+            built = index.value
             for batch in batches:
                 hits = [(d, i, f, n) for d, t in zip(batch[doc_id], batch[text], strict=True) for (i, f), n in built.leaks(t).items()]
                 yield pd.DataFrame(hits, columns=[doc_id, item_id, "field", "run"])
