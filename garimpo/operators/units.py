@@ -9,7 +9,8 @@ is taken: the combination with the least |ln(candidate) - ln(identity)|. Identit
   price text x scale              = price column x 100 centavos
   instalments x instalment        = total price
 
-Candidates that differ in amount but are equally good make the solution non-unique; it is flagged.
+Candidates that differ in amount but are equally good make the solution non-unique; it is flagged, and so is a value that
+all of its identities contradict.
 Everything is built-in column expressions, one pass over the table, no exchange.
 """
 
@@ -35,6 +36,8 @@ BYTES = {
 SAME = 0.005
 #: Difference of logarithms up to which an identity may decide between candidates.
 NEAR = 0.2
+#: Residual where there is no identity.
+NONE = 1e9
 
 _UNIT = r"([kmgt]i?b|[kmgt]ega(?:byte)?s?|tera(?:byte)?s?|giga(?:byte)?s?|[kmgt])"
 _NUM = r"(\d+(?:[.,]\d+){0,6})"
@@ -87,20 +90,21 @@ def values(number: Column, grouped_mark: str = ".") -> Column:
 def choose(candidates: Column, identities: Column) -> Column:
     """struct<amount, residual, unique> of the candidate (array<double>) nearest to any of `identities` (array<double>).
 
-    Without a usable identity, or where none comes nearer than NEAR, it is the first candidate, with a null residual.
-    `unique` is false if another candidate of a different amount is as near (within SAME). No candidate: null.
+    Without a usable identity, or where none comes nearer than NEAR, it is the first candidate. `unique` is false if
+    another candidate of a different amount is as near (within SAME), or if there are identities and all contradict. `residual` is
+    null without an identity. No candidate: null.
     """
     def scored(pair: Column) -> Column:
         near = lambda x: F.array_min(F.transform(F.filter(pair["i"], lambda i: i > 0), lambda i: F.abs(F.ln(x) - F.ln(i))))
-        return F.transform(F.filter(pair["c"], lambda x: x > 0), lambda x, k: F.struct(F.coalesce(near(x), F.lit(1e9)).alias("residual"), k.alias("k"), x.alias("amount")))
+        return F.transform(F.filter(pair["c"], lambda x: x > 0), lambda x, k: F.struct(F.coalesce(near(x), F.lit(NONE)).alias("residual"), k.alias("k"), x.alias("amount")))
 
     def decide(all_: Column, best: Column) -> Column:
         decided = best["residual"] <= NEAR
         rival = F.exists(all_, lambda s: (s["residual"] <= best["residual"] + SAME) & (F.abs(F.ln(s["amount"]) - F.ln(best["amount"])) > SAME))
         return F.struct(
             F.when(decided, best["amount"]).otherwise(all_[0]["amount"]).alias("amount"),
-            F.when(decided, best["residual"]).alias("residual"),
-            F.when(decided, ~rival).otherwise(F.size(all_) == 1).alias("unique"),
+            F.when(best["residual"] < NONE, best["residual"]).alias("residual"),
+            F.when(decided, ~rival).otherwise((F.size(all_) == 1) & (best["residual"] >= NONE)).alias("unique"),
         )
 
     pair = F.struct(candidates.alias("c"), identities.alias("i"))
@@ -126,16 +130,22 @@ def capacity(text: Column, title: Column | None = None) -> Column:
 
     Reads a single amount ("1,92 TB", "cap. 500GB nominal", "128 gigas"), a total with its modules ("32GB (2x16GB)",
     "64GB (2x32)") and modules to add up ("2x8GB", "8GB x 2", "2 pentes de 8GB"). A number without unit gets the unit
-    for which it meets a capacity printed in `title`; without such a capacity it states no amount.
+    for which it meets a capacity printed in `title`; without such a capacity it states no amount. A total that its own
+    modules contradict is taken as it is and flagged.
     """
     count_first = rf"(\d+) ?(?:x|pentes? de|modulos? de|módulos? de|unidades? de|pecas? de|peças? de) ?{_NUM} ?{_UNIT}\b"
     size_first = rf"{_NUM} ?{_UNIT} ?x ?(\d+)\b"
     total = rf"{_NUM} ?{_UNIT} ?\("
+    inside = rf"\( ?(\d+) ?(?:x|pentes? de|modulos? de|módulos? de) ?{_NUM} ?{_UNIT}?"
     one = rf"{_NUM} ?{_UNIT}\b"
     bare = r"^(\d+(?:[.,]\d+){0,6})$"
 
     def read(t: Column) -> Column:
-        part = lambda p, n, u, m: F.struct(_get(t, p, n).alias("n"), (_get(t, p, u) if u else F.lit(None).cast("string")).alias("u"), (_get(t, p, m) if m else F.lit("1")).alias("m"))
+        null = F.lit(None).cast("string")
+        kit = lambda p, k: _get(t, inside, k) if p == total else null
+        part = lambda p, n, u, m: F.struct(
+            _get(t, p, n).alias("n"), (_get(t, p, u) if u else null).alias("u"), (_get(t, p, m) if m else F.lit("1")).alias("m"), kit(p, 1).alias("mk"), kit(p, 2).alias("ms"), kit(p, 3).alias("mu")
+        )
         has = lambda p: F.regexp_like(t, F.lit(p))
         return (
             F.when(has(total), part(total, 1, 2, 0)).when(has(count_first), part(count_first, 2, 3, 1)).when(has(size_first), part(size_first, 1, 2, 3))
@@ -146,9 +156,10 @@ def capacity(text: Column, title: Column | None = None) -> Column:
         scales = F.when(x["u"].isNotNull(), F.array(_factor(x["u"]))).otherwise(F.array(*[F.lit(float(BYTES[u])) for u in ("gb", "tb", "mb")]))
         candidates = let(scales, lambda ss: F.flatten(F.transform(values(x["n"]), lambda v: F.transform(ss, lambda s: v * x["m"].try_cast("double") * s))))
         printed = F.array().cast("array<double>") if title is None else F.coalesce(printed_capacities(title), F.array().cast("array<double>"))
-        open_ = x["u"].isNull() | F.regexp_like(x["n"], F.lit(r"^[1-9]\d{0,2}([.,]\d{3})+$"))  # only these need an identity
-        found = choose(candidates, F.when(open_, printed).otherwise(F.array().cast("array<double>")))
-        return let(found, lambda f: F.when(x["u"].isNotNull() | f["residual"].isNotNull(), f))
+        open_ = x["u"].isNull() | F.regexp_like(x["n"], F.lit(r"^[1-9]\d{0,2}([.,]\d{3})+$"))  # only these need the title
+        modules = F.array_compact(F.array(as_decimal(x["ms"]) * x["mk"].try_cast("double") * F.coalesce(_factor(x["mu"]), _factor(x["u"]))))
+        found = choose(candidates, F.concat(F.when(open_, printed).otherwise(F.array().cast("array<double>")), modules))
+        return let(found, lambda f: F.when(x["u"].isNotNull() | (f["residual"] <= NEAR), f))
 
     return let(let(plain(text), read), lambda x: F.when(x.isNotNull(), resolve(x)))
 
@@ -158,7 +169,7 @@ def price(text: Column, known: Column | None = None) -> Column:
 
     Taken is what is asked now: the price after "por" rather than after "de", the cash price rather than instalments, and
     instalments times their count if nothing else is stated. "mil" is a factor of a thousand. Between a decimal and a
-    thousands reading the price column `known` (in reais) decides where it is filled.
+    thousands reading the price column `known` (in reais) decides where it is filled, else the total of instalments beside it.
     """
     amount = r"(?:r\s*\$|brl)?\s*(\d+(?:[., ]\d+){0,6})( ?mil\b)?"
     parts = r"(\d+) ?x ?(?:de )?" + amount
@@ -182,8 +193,14 @@ def price(text: Column, known: Column | None = None) -> Column:
         in_words = F.when(has(both), F.array(digits(_get(t, both, 1)) * 100 + digits(_get(t, both, 2)))).when(has(cents), F.array(digits(_get(t, cents, 1))))
         return F.when(F.regexp_like(t, F.lit(r"\d")), F.coalesce(F.when(t.contains("centavo"), in_words), cash, instalments))
 
-    identities = none if known is None else F.when(known > 0, F.array(known * 100)).otherwise(none)
-    return let(let(plain(text), read), lambda c: F.when(F.size(c) > 0, choose(c, identities)))
+    def total_of_parts(t: Column) -> Column:
+        """Instalments times their count, in each reading, where a cash price stands beside them."""
+        beside = t.contains("x") & F.regexp_like(F.regexp_replace(t, parts, " "), F.lit(r"\d"))
+        return F.when(beside, F.coalesce(scaled(t, parts, 2, _get(t, parts, 1).try_cast("double")), none)).otherwise(none)
+
+    by_column = none if known is None else F.when(known > 0, F.array(known * 100)).otherwise(none)
+    both_of = lambda t: F.struct(read(t).alias("c"), F.when(F.size(by_column) > 0, by_column).otherwise(total_of_parts(t)).alias("i"))
+    return let(let(plain(text), both_of), lambda x: F.when(F.size(x["c"]) > 0, choose(x["c"], x["i"])))
 
 
 def _amount(found: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.operators import history, units
+from garimpo.session import cut
 from garimpo.sources.tables import table
 
 LISTING = ["provider", "providerproductid"]
@@ -33,9 +35,47 @@ def p1_periods(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_change_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often each attribute of a listing changes; what splits them into satellites."""
-    df = table(spark, d, "raw_products", "id", *LISTING, "title", "pricetext", "price", "url", "source", "createdat")
-    df = df.dropDuplicates(["id"]).filter(F.col("providerproductid").isNotNull())
-    return history.change_rates(df, LISTING, ["title", "pricetext", "price", "url", "source"], "createdat", ["id"])
+    return history.change_rates(_observed(spark, d), LISTING, ATTRIBUTES, "createdat", ["id"])
+
+
+#: Attributes of a listing that are kept in satellites.
+ATTRIBUTES = ["title", "pricetext", "price", "url", "source"]
+#: Deliveries in which p1_appended takes the rows.
+DELIVERIES = 3
+
+
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "raw_products", "id", *LISTING, *ATTRIBUTES, "createdat")
+    return df.dropDuplicates(["id"]).filter(F.col("providerproductid").isNotNull())
+
+
+def p1_satellites(spark: SparkSession, d: str) -> DataFrame:
+    """Versions in the satellites of all attributes, which are split into fast and slow ones by their measured rate of change."""
+    df = cut(_observed(spark, d))
+    rates = {r.attribute: r.rate for r in history.change_rates(df, LISTING, ATTRIBUTES, "createdat", ["id"]).collect()}  # one row an attribute
+    split = zip(("fast", "slow"), history.split_by_rate(rates), strict=True)
+    parts = [history.changes(df, LISTING, names, "createdat", ["id"]).select(*LISTING, F.lit(kind).alias("satellite"), F.unix_micros("valid_from").alias("validfrom_us")) for kind, names in split if names]
+    return reduce(DataFrame.unionByName, parts) if parts else df.select(*LISTING, F.lit("slow").alias("satellite"), F.unix_micros("createdat").alias("validfrom_us")).limit(0)
+
+
+def p1_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The price versions once more, from a satellite to which the rows are appended delivery by delivery as they arrive."""
+    df = _prices(spark, d).withColumn("n", F.regexp_extract("id", r"(\d+)$", 1).try_cast("long"))
+    low, high = df.agg(F.min("n"), F.max("n")).first()
+    low, high = low or 0, high or 0
+    ends = [low + (high - low + 1) * k // DELIVERIES for k in range(1, DELIVERIES + 1)]
+    satellite, began = None, None
+    for end in ends:
+        batch = df.filter(F.coalesce("n", F.lit(low)) < end)
+        if satellite is None:
+            satellite = cut(history.changes(batch, LISTING, ["price"], "createdat", ["id"]))
+        else:
+            seen = df.filter(F.coalesce("n", F.lit(low)) < began)
+            new = history.append(satellite, batch.filter(F.coalesce("n", F.lit(low)) >= began), seen, LISTING, ["price"], "createdat", ["id"])
+            satellite = cut(satellite.unionByName(new))
+        began = end
+    df = history.periods(satellite, LISTING, ["id"])
+    return df.select(*LISTING, F.unix_micros("valid_from").alias("validfrom_us"))
 
 
 def _amounts(spark: SparkSession, d: str) -> DataFrame:
@@ -55,12 +95,20 @@ def p4_ambiguous(spark: SparkSession, d: str) -> DataFrame:
     return _amounts(spark, d).groupBy("tablename", "field", "unique").agg(F.count("*").alias("n"))
 
 
+def p4_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """The values whose reading isn't unique, or that contradict the columns beside them, with the reading taken."""
+    return _amounts(spark, d).filter(~F.col("unique")).select("tablename", "id", "field", "amount")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_periods": p1_periods,
     "p1_change_rates": p1_change_rates,
+    "p1_satellites": p1_satellites,
+    "p1_appended": p1_appended,
     "p4_found": p4_found,
     "p4_ambiguous": p4_ambiguous,
+    "p4_flagged": p4_flagged,
 }
 
 _OBSERVED = """
@@ -73,13 +121,7 @@ _VERSIONS = f"""
       FROM ({_OBSERVED}) o) w
     WHERE rn = 1 OR price <> was"""
 
-SQL: dict[str, str] = {
-    "p1_found": f"SELECT provider, providerproductid, epoch_us(createdat) AS validfrom_us FROM ({_VERSIONS}) v",
-    "p1_periods": f"""
-    SELECT provider, providerproductid, price, epoch_us(createdat) AS validfrom_us,
-           lead(epoch_us(createdat)) OVER (PARTITION BY provider, providerproductid ORDER BY createdat, id) AS validto_us
-    FROM ({_VERSIONS}) v""",
-    "p4_found": r"""
+_AMOUNTS = r"""
     WITH c AS (
       SELECT DISTINCT id, field, v, title FROM (SELECT id, 'storagecapacity' AS field, storagecapacity AS v, originaltitle AS title FROM normalized_products
         UNION ALL SELECT id, 'memorycapacity', memorycapacity, originaltitle FROM normalized_products) x WHERE v IS NOT NULL AND NOT regexp_full_match(v, '[0-9]+GB')),
@@ -100,7 +142,39 @@ SQL: dict[str, str] = {
     SELECT 'normalized_products' AS tablename, id, field, floor(x * k * f + 0.5)::BIGINT AS amount FROM q WHERE x IS NOT NULL AND f IS NOT NULL
     UNION ALL
     SELECT 'raw_products', id, 'pricetext', floor(CASE WHEN contains(t, 'reais e') THEN regexp_extract(t, '([0-9]+) reais', 1)::DOUBLE * 100 + regexp_extract(t, 'e ([0-9]+) centavos', 1)::DOUBLE WHEN contains(t, 'centavos') THEN x
-             WHEN contains(t, ' mil') THEN x * 100000 ELSE x * k * 100 END + 0.5)::BIGINT FROM y WHERE x IS NOT NULL""",
+             WHEN contains(t, ' mil') THEN x * 100000 ELSE x * k * 100 END + 0.5)::BIGINT FROM y WHERE x IS NOT NULL"""
+#: Prices that one thousands mark leaves open, without a price column to decide.
+_FLAGGED = rf"""
+    SELECT DISTINCT a.* FROM ({_AMOUNTS}) a JOIN raw_products r ON a.tablename = 'raw_products' AND a.id = r.id
+    WHERE coalesce(r.price, 0) = 0 AND regexp_matches(regexp_extract(translate(r.pricetext, '０１２３４５６７８９', '0123456789'), '[0-9]+([., ][0-9]+)*'), '^[1-9][0-9]{{0,2}}[.][0-9]{{3}}$')"""
+
+_STEPS = """
+    WITH one AS (SELECT DISTINCT id, provider, providerproductid, title, pricetext, price, url, source, createdat FROM raw_products WHERE providerproductid IS NOT NULL),
+    n AS (SELECT *, lag(title) OVER w AS t0, lag(pricetext) OVER w AS x0, lag(price) OVER w AS p0, lag(url) OVER w AS u0, lag(source) OVER w AS s0,
+                 row_number() OVER w AS rn
+          FROM one WINDOW w AS (PARTITION BY provider, providerproductid ORDER BY createdat, id))"""
+_PAIRS = (("title", "t0"), ("pricetext", "x0"), ("price", "p0"), ("url", "u0"), ("source", "s0"))
+
+
+def _satellite(kind: str, test: str) -> str:
+    some = " OR ".join(f"r_{a} {test}" for a, _ in _PAIRS)
+    differs = " OR ".join(f"(r_{a} {test} AND {a} IS DISTINCT FROM {b})" for a, b in _PAIRS)
+    return f"SELECT provider, providerproductid, '{kind}' AS satellite, epoch_us(createdat) AS validfrom_us FROM n CROSS JOIN rate WHERE ({some}) AND (rn = 1 OR {differs})"
+
+
+SQL: dict[str, str] = {
+    "p1_satellites": f"""{_STEPS},
+    rate AS (SELECT {", ".join(f"coalesce(avg(({a} IS DISTINCT FROM {b})::INT), 0) AS r_{a}" for a, b in _PAIRS)} FROM n WHERE rn > 1)
+    {_satellite("fast", ">= 0.1")} UNION ALL {_satellite("slow", "< 0.1")}""",
+    "p1_appended": f"SELECT provider, providerproductid, epoch_us(createdat) AS validfrom_us FROM ({_VERSIONS}) v",
+    "p1_found": f"SELECT provider, providerproductid, epoch_us(createdat) AS validfrom_us FROM ({_VERSIONS}) v",
+    "p1_periods": f"""
+    SELECT provider, providerproductid, price, epoch_us(createdat) AS validfrom_us,
+           lead(epoch_us(createdat)) OVER (PARTITION BY provider, providerproductid ORDER BY createdat, id) AS validto_us
+    FROM ({_VERSIONS}) v""",
+    "p4_found": _AMOUNTS,
+    "p4_flagged": _FLAGGED,
+    "p4_ambiguous": f"SELECT a.tablename, a.field, f.id IS NULL AS \"unique\", count(*) AS n FROM ({_AMOUNTS}) a LEFT JOIN ({_FLAGGED}) f ON a.tablename = f.tablename AND a.id = f.id AND a.field = f.field GROUP BY ALL",
     "p1_change_rates": """
     WITH one AS (SELECT DISTINCT id, provider, providerproductid, title, pricetext, price, url, source, createdat FROM raw_products WHERE providerproductid IS NOT NULL),
     n AS (SELECT *, lag(title) OVER w AS t0, lag(pricetext) OVER w AS x0, lag(price) OVER w AS p0, lag(url) OVER w AS u0, lag(source) OVER w AS s0,

@@ -45,3 +45,13 @@ def test_rows_in_usual_form_blank_rows_and_repeats(spark, rows):
     fields = [("c", units.capacity(F.col("c")), units.USUAL_CAPACITY)]
     assert rows(units.in_common_units(df, fields, "t"), "id", "field", "amount") == [("2", "c", 500 * 10**9), ("5", "c", 2 * 10**12)]
     assert units.in_common_units(df.limit(0), fields, "t").count() == 0
+
+
+def test_identities_are_tested(spark):
+    """Modules times size against the total in the same text, instalments times their count against the cash price."""
+    read = lambda c: (lambda r: (r.amount, r.residual is not None and r.residual < units.SAME, r.unique))(spark.range(1).select(c.alias("x")).first().x)
+    assert read(units.capacity(F.lit("32GB (2x16GB)"))) == (32e9, True, True) and read(units.capacity(F.lit("64 GB (2x32)"))) == (64e9, True, True)
+    assert read(units.capacity(F.lit("32GB (2x8GB)"))) == (32e9, False, False)
+    assert read(units.price(F.lit("R$ 1.234 ou 10x de R$ 123,40"))) == (123400.0, True, True)
+    assert read(units.price(F.lit("R$ 1.234"))) == (123400.0, False, False) and read(units.price(F.lit("R$ 1.234"), F.lit(1234.0))) == (123400.0, True, True)
+    assert read(units.price(F.lit("R$ 1.234,00"), F.lit(99.0))) == (123400.0, False, False)
