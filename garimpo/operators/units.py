@@ -40,7 +40,7 @@ NEAR = 0.2
 NONE = 1e9
 
 _UNIT = r"([kmgt]i?b|[kmgt]ega(?:byte)?s?|tera(?:byte)?s?|giga(?:byte)?s?|[kmgt])"
-_NUM = r"(\d+(?:[.,]\d+){0,6})"
+_NUM = r"(\d+(?:[.,]\d+)*+)"
 _WIDE = "０１２３４５６７８９，．＄Ｒ×"
 _PLAIN = "0123456789,.$Rx"
 
@@ -114,7 +114,7 @@ def choose(candidates: Column, identities: Column) -> Column:
 def printed_capacities(title: Column) -> Column:
     """Bytes of every capacity printed in a title, kits multiplied out as well; rates (6 Gb/s, 130MB/s) are none."""
     t = plain(title)
-    mention = r"\b(\d+(?:[.,]\d+){0,6}) ?" + _UNIT + r"\b(?!/| ?ps\b)"
+    mention = r"\b(\d+(?:[.,]\d+)*+) ?" + _UNIT + r"\b(?!/| ?ps\b)"
     found = F.struct(F.regexp_extract_all(t, F.lit(mention), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(mention), F.lit(2)).alias("u"))
 
     def read(x: Column) -> Column:
@@ -138,7 +138,7 @@ def capacity(text: Column, title: Column | None = None) -> Column:
     total = rf"{_NUM} ?{_UNIT} ?\("
     inside = rf"\( ?(\d+) ?(?:x|pentes? de|modulos? de|módulos? de) ?{_NUM} ?{_UNIT}?"
     one = rf"{_NUM} ?{_UNIT}\b"
-    bare = r"^(\d+(?:[.,]\d+){0,6})$"
+    bare = r"^(\d+(?:[.,]\d+)*+)$"
 
     def read(t: Column) -> Column:
         null = F.lit(None).cast("string")
@@ -171,10 +171,10 @@ def price(text: Column, known: Column | None = None) -> Column:
     instalments times their count if nothing else is stated. "mil" is a factor of a thousand. Between a decimal and a
     thousands reading the price column `known` (in reais) decides where it is filled, else the total of instalments beside it.
     """
-    amount = r"(?:r\s*\$|brl)?\s*(\d+(?:[., ]\d+){0,6})( ?mil\b)?"
+    amount = r"(?:r\s*\$|brl)?\s*(\d+(?:[., ]\d+)*+)( ?mil\b)?"
     parts = r"(\d+) ?x ?(?:de )?" + amount
     asked = r"\bpor " + amount
-    both = r"(\d+(?:[.,]\d+){0,6}) reais e (\d+) centavos?"
+    both = r"(\d+(?:[.,]\d+)*+) reais e (\d+) centavos?"
     cents = r"^\D*(\d+(?:[.,]\d{3})*) centavos?"
     none = F.array().cast("array<double>")
     digits = lambda x: F.regexp_replace(x, r"\D", "").try_cast("double")

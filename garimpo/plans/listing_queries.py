@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import failures, prices, relevance, storage, titles, urls
 from garimpo.operators import compare, dedup, pairs, statistics
-from garimpo.plans import pipeline
+from garimpo.plans import connectors, pipeline
 from garimpo.plans.listing_sql import build
 from garimpo.sources import pages, store
 from garimpo.sources.listings import listings
@@ -313,6 +313,50 @@ def page_cards(spark: SparkSession, d: str) -> DataFrame:
     return df.select("page", "pos", "title", "price_text", "url")
 
 
+def _pages_of(spark: SparkSession, d: str, provider: str, per_page: int, card) -> DataFrame:  # noqa: ANN001
+    """(page, html): result pages of a shop, `per_page` cards each in the order of k."""
+    df = listings(spark, d).filter(F.col("provider") == provider).withColumn("page", F.floor(F.col("k") / per_page).cast("long"))
+    cards = F.transform(F.array_sort(F.collect_list(F.struct("k", card.alias("card")))), lambda x: x["card"])
+    return df.groupBy("page").agg(F.array_join(cards, "\n").alias("html"))
+
+
+def plain_page_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a hundred cards in the layout that keeps everything in one text; eighty of each are read."""
+    card = F.concat(F.lit('<a href="/produto/'), F.col("k").cast("string"), F.lit('/x"><div>Avaliação 4.5 de 5</div><div>'), "title", F.lit("</div> <b>"), "price_text", F.lit("</b><br>em 10x de R$ 9,90</a>"))
+    return pages.plain_cards(_pages_of(spark, d, "kabum", 100, card), "page").select("page", "pos", "title", "price_text", "url")
+
+
+def listed_page_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in the layout of a result list, with advertisements, click counters and links to other shops."""
+    ad = F.when(F.col("k") % 10 == 0, '<div class="ui-search-item__ad">').otherwise("<div>")
+    card = F.concat(F.lit('<li class="ui-search-layout__item">'), ad, F.lit('<h2> '), "title", F.lit(' </h2><a href="https://click1.mercadolivre.example/x">+</a><a href="'), "url", F.lit('">+</a><span class="price">'), "price_text", F.lit("</span></div></li>"))
+    return pages.listed_cards(_pages_of(spark, d, "mercadolivre", 48, card), "mercadolivre.example", keep=["page"]).select("page", "pos", "title", "price_text", "url")
+
+
+def page_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of failed and empty result pages, and whether the page is an access check by its title."""
+    df = _failures(spark, d).withColumn("message", F.when(F.col("event_id") % 4 != 0, F.col("message")))
+    cards = (F.col("event_id") % 8 / 4).cast("int")
+    title = F.when(F.col("event_id") % 5 == 0, F.lit("Loja em Manutenção")).when(F.col("event_id") % 5 == 1, F.lit("SSD"))
+    return df.select("event_id", failures.page_code(F.col("message"), F.col("name"), cards).alias("code"), failures.is_blocked(title).alias("blocked"), failures.label(F.col("message"), F.col("name")).alias("label"))
+
+
+def search_products(spark: SparkSession, d: str) -> DataFrame:
+    """Every search with its raw and normalized rows, as a store gives them back."""
+    raw = _raw(spark, d, "searchid", "title")
+    np = table(spark, d, "normalized_products", "id", "searchid", "brand")
+    df = store.with_products(table(spark, d, "searches", "id", "status"), raw, np, "id", "searchid")
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
+    return df.select("id", "status", ids("raw").alias("raw"), ids("normalized").alias("normalized"), F.get("normalized", F.lit(0))["brand"].alias("first_brand"))
+
+
+def page_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pagination stored with each search is complete, and the expected page where the product count names one."""
+    p = F.from_json("pagination", "currentPage int, pages array<int>, nextPageUrl string, hasNextPage boolean")
+    df = table(spark, d, "searches", "id", "pagination").withColumn("p", p)
+    return df.select("id", connectors.valid_pagination(F.col("p")).alias("valid"), connectors.valid_pagination(F.col("p"), F.lit(1)).alias("first_page"))
+
+
 def search_rows(spark: SparkSession, d: str) -> DataFrame:
     """Searches with the numbers of their rows."""
     s = table(spark, d, "searches", "id", "provider", "status")
@@ -343,7 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_titles, title_attributes, title_models, listing_capacities, parsed_prices, listing_prices, canonical_devices, flat_devices, compare_catalogue, compare_distinct,
         matching_devices, comparison_reports, field_matchers, greedy_offers, match_quality, product_rows, product_devices, warranty_pairs, relevance_scores, relevant_listings, search_statistics, deduplicated, raw_deduplicated,
         first_titles, shop_listings, provider_union, provider_summary, brand_prices, listing_validity, page_overlap, run_statistics, query_statistics, page_success, engine_deltas,
-        failure_classes, failure_pivot, failure_distribution, search_urls, search_pages, page_cards, search_rows, table_counts, search_states, listing_rollup,
+        failure_classes, failure_pivot, failure_distribution, search_urls, search_pages, page_cards, plain_page_cards, listed_page_cards, page_codes, page_validity, search_products, search_rows, table_counts, search_states, listing_rollup,
     )
 }
 SQL: dict[str, str] = build(CATALOGUE, MESSAGES, QUERY, CATEGORIES)

@@ -356,6 +356,13 @@ def build(catalogue: tuple, messages: tuple, query: str, categories: tuple) -> d
             x AS (SELECT id, cur, u, {page("u")} AS p, i FROM (SELECT id, cur, unnest(links) AS u, unnest(range(1, 7)) AS i FROM c) y)
             SELECT id, cur AS "currentPage", array_to_string(list_sort(list(DISTINCT p)), ',') AS pages, arg_min(u, p * 100 + i) FILTER (p > cur) AS "nextPageUrl", count(*) FILTER (p > cur) > 0 AS "hasNextPage" FROM x WHERE p IS NOT NULL GROUP BY id, cur""",
         "page_cards": f"SELECT k // 40 AS page, (row_number() OVER (PARTITION BY k // 40 ORDER BY k) - 1)::INT AS pos, title, price_text, nullif(coalesce(url, ''), '') AS url FROM {L} l WHERE provider = 'pichau'",
+        "plain_page_cards": f"SELECT page, pos, replace(title, 'Produto Patrocinado ', '') AS title, price_text, '/produto/' || k || '/x' AS url FROM (SELECT *, k // 100 AS page, (row_number() OVER (PARTITION BY k // 100 ORDER BY k) - 1)::INT AS pos FROM {L} l WHERE provider = 'kabum') x WHERE pos < 80",
+        "listed_page_cards": f"SELECT page, pos, title, price_text, url FROM (SELECT *, k // 48 AS page, (row_number() OVER (PARTITION BY k // 48 ORDER BY k) - 1)::INT AS pos FROM {L} l WHERE provider = 'mercadolivre') x WHERE k % 10 <> 0 AND k % 11 <> 0",
+        "page_codes": f"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 8 < 4 THEN 'NO_PRODUCTS' END ELSE CASE {category} WHEN 'cloudflare' THEN 'CLOUDFLARE' WHEN 'timeout' THEN 'TIMEOUT' WHEN 'selector' THEN 'INPUT_NOT_FOUND' WHEN 'other' THEN 'DOM_CHANGED' ELSE 'NAVIGATION' END END AS code,
+            event_id % 5 = 0 AS blocked, CASE WHEN event_id % 4 <> 0 THEN {kind} WHEN contains(name, 'Timeout') THEN 'retriable' WHEN contains(name, 'TypeError') THEN 'permanent' ELSE 'unknown' END AS label FROM {failed} f""",
+        "page_validity": "SELECT id, coalesce(ok, FALSE) AS valid, coalesce(ok AND c = 1, FALSE) AS first_page FROM (SELECT id, try_cast(json_extract_string(pagination, '$.currentPage') AS INT) AS c, json_array_length(pagination, '$.pages') > 0 AND try_cast(json_extract_string(pagination, '$.currentPage') AS INT) IS NOT NULL AND json_extract_string(pagination, '$.hasNextPage') IS NOT NULL AS ok FROM searches) x",
+        "search_products": f"""SELECT s.id, s.status, coalesce(r.ids, '') AS raw, coalesce(n.ids, '') AS normalized, n.first_brand FROM searches s LEFT JOIN (SELECT searchid, string_agg(id, ',' ORDER BY id) AS ids FROM {RAW} x GROUP BY 1) r ON s.id = r.searchid
+            LEFT JOIN (SELECT searchid, string_agg(id, ',' ORDER BY id) AS ids, (list(brand ORDER BY id))[1] AS first_brand FROM normalized_products GROUP BY 1) n ON s.id = n.searchid""",
         "search_rows": rows,
         "table_counts": "SELECT s AS searches, r AS raw, n AS normalized, r + n AS products FROM (SELECT (SELECT count(*) FROM searches) AS s, (SELECT count(*) FROM raw_products) AS r, (SELECT count(*) FROM normalized_products) AS n) x",
         "search_states": f"SELECT x.id, CASE WHEN x.raw > 0 THEN 'success' ELSE 'partial' END AS state, CASE WHEN s.executiontime < 1000 THEN s.executiontime || 'ms' WHEN s.executiontime IS NOT NULL THEN (floor(s.executiontime / 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT // 10) || '.' || (floor(s.executiontime / 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT % 10) || 's' END AS took FROM ({rows}) x JOIN searches s ON x.id = s.id",
