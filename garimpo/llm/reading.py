@@ -9,10 +9,14 @@ Code, links and markup are taken out before words and sentences are counted.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions.edges import let
 from garimpo.session import cut
 
 #: Lengths of a language's list of familiar words, by document frequency, that the grades choose from.
@@ -22,22 +26,42 @@ PORTUGUESE = ("o", "a", "de", "que", "não", "um", "uma", "os", "as", "do", "da"
 ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "with", "this", "we", "they", "are", "not", "be", "at", "by")
 
 
+# What is no prose, as (what a text must hold for the pattern to match, pattern, replacement), in order.
+NO_PROSE = (
+    (r"```", r"(?s)```.*?(?:```|\z)", "\n"),
+    (r"<", r"(?is)<(pre|code|script|style)\b.*?</\1\s*>", "\n"),
+    (r"(?: {4}|\t)", r"(?m)^(?: {4}|\t).*$", ""),
+    (r"\]\(", r"!?\[([^\[\]]*+)\]\([^)\s]*\)", "$1"),
+    (r"`", r"`[^`\n]*`", " "),
+    (r"<", r"(?i)</(?:p|div|li|h\d|tr|blockquote)>|<br */?>|<(?:p|div|li|h\d|tr|blockquote)\b[^<>]*>", "\n"),
+    (r"<|-->", r"<!--|-->|</?[a-zA-Z][^<>]*>", " "),
+    (r"&", r"(?i)&(?:nbsp|#160);", " "),
+    (r"&", r"&[#\w]{2,8};", " "),
+    (r"://|(?i:www\.)", r"(?i)\b(?:https?://|www\.)\S+", " "),
+    (r">", r"(?m)^[ \t]*(?:>+ ?)+", ""),
+    # Lines that are built like statements or commands rather than prose.
+    (
+        r"[{}=(]|\);|\./|(?:export|import|def|class|return|cat) |tar x|SELECT |FROM |JOIN |WHERE |(?:GROUP|ORDER) BY",
+        r"(?m)^.*(?:[{}][ \t]*$|=>|\$\(|\);[ \t]*$|^[ \t]*(?:\./|export \w+=|import \w|def \w+\(|class \w+[:(]|return \w+;|tar x|cat \S+\.|SELECT |FROM \w+$|JOIN |WHERE |GROUP BY|ORDER BY)|\w\(\w*+\)|\w ?[=!]= ?\w).*$",
+        "",
+    ),
+)
+
+
 def prose(text: Column) -> Column:
-    """A text without code, links, quoted headers and markup; null gives an empty text."""
+    """A text without code, links, quoted headers and markup; null gives an empty text.
+
+    A pattern is run on texts that hold what it needs only.
+    """
+    def step(needs: str, pattern: str, to: str) -> Callable[[Column], Column]:
+        plain = re.sub(r"\\(.)", r"\1", needs) if re.fullmatch(r"(?:\\.|[^\\\[\](){}|?*+.^$])+", needs) else None
+        holds = (lambda x: F.contains(x, F.lit(plain))) if plain else (lambda x: F.regexp_like(x, F.lit(needs)))
+        return lambda x: let(x, lambda v: F.when(holds(v), F.regexp_replace(v, pattern, to)).otherwise(v))
+
     x = F.coalesce(text, F.lit(""))
-    x = F.regexp_replace(x, r"(?s)```.*?(?:```|\z)", "\n")
-    x = F.regexp_replace(x, r"(?is)<(pre|code|script|style)\b.*?</\1\s*>", "\n")
-    x = F.regexp_replace(x, r"(?m)^(?: {4}|\t).*$", "")
-    x = F.regexp_replace(x, r"!?\[([^\[\]]{0,300})\]\([^)\s]*\)", "$1")
-    x = F.regexp_replace(x, r"`[^`\n]*`", " ")
-    x = F.regexp_replace(x, r"(?i)</(?:p|div|li|h\d|tr|blockquote)>|<br */?>|<(?:p|div|li|h\d|tr|blockquote)\b[^<>]*>", "\n")
-    x = F.regexp_replace(x, r"<!--|-->|</?[a-zA-Z][^<>]*>", " ")
-    x = F.regexp_replace(x, r"(?i)&(?:nbsp|#160);", " ")
-    x = F.regexp_replace(x, r"&[#\w]{2,8};", " ")
-    x = F.regexp_replace(x, r"(?i)\b(?:https?://|www\.)\S+", " ")
-    x = F.regexp_replace(x, r"(?m)^[ \t]*(?:>+ ?)+", "")
-    # Lines that are built like statements or commands rather than prose.
-    return F.regexp_replace(x, r"(?m)^.*(?:[{}][ \t]*$|=>|\$\(|\);[ \t]*$|^[ \t]*(?:\./|export \w+=|import \w|def \w+\(|class \w+[:(]|return \w+;|tar x|cat \S+\.|SELECT |FROM \w+$|JOIN |WHERE |GROUP BY|ORDER BY)|\w\(\w{0,40}\)|\w ?[=!]= ?\w).*$", "")
+    for needs, pattern, to in NO_PROSE:
+        x = step(needs, pattern, to)(x)
+    return x
 
 
 def word_array(text: Column) -> Column:
@@ -48,26 +72,25 @@ def word_array(text: Column) -> Column:
 def measures(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", familiar: tuple[int, ...] = FAMILIAR) -> DataFrame:
     """(doc_id, language, words, sentences, unfamiliar, wordspersentence) of each document; rows are kept one to one.
 
-    `unfamiliar` has the share of words outside the list for each length in `familiar`. Documents without words have 0 words
+    `unfamiliar` has the share of words outside the list for each length in `familiar` (ascending). Documents without words have 0 words
     and null ratios. Equal document frequencies at the end of a list are ordered by word.
     """
     plain = documents.select(F.col(doc_id).alias("doc_id"), prose(F.col(text)).alias("t"))
-    ws = word_array(F.col("t"))
-    df = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", ws.alias("w"), F.regexp_extract_all("t", F.lit(r"[^.!?\n]*\p{L}[^.!?\n]*"), F.lit(0)).alias("s"))
-    df = df.select("row", "doc_id", "w", F.size("s").alias("sentences"))
-    count = lambda fixed: F.size(F.filter("w", lambda x: x.isin(*fixed)))
-    df = cut(df.withColumn("language", F.when(count(PORTUGUESE) >= count(ENGLISH), "pt").otherwise("en")))
+    df = plain.select("doc_id", word_array(F.col("t")).alias("w"), F.size(F.regexp_extract_all("t", F.lit(r"[^.!?\n]*\p{L}[^.!?\n]*"), F.lit(0))).alias("sentences"))
+    among = lambda fixed: F.size(F.filter("w", lambda x: x.isin(*fixed)))
+    df = cut(df.withColumn("language", F.when(among(PORTUGUESE) >= among(ENGLISH), "pt").otherwise("en")))
     frequency = df.select("language", F.explode(F.array_distinct("w")).alias("word")).groupBy("language", "word").agg(F.count("*").alias("df"))
-    # At most max(familiar) words for each of two languages: bounded, whatever the corpus, and ranked on so few rows only.
-    top = lambda language: frequency.filter(F.col("language") == language).orderBy(F.desc("df"), "word").limit(max(familiar))
-    few = top("pt").unionByName(top("en"))
-    ranked = few.select("language", "word", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("df"), "word")).alias("rank"))
-    word = df.select("row", "language", F.explode("w").alias("word"))
-    known = [F.count_if(F.col("rank") <= n).alias(f"familiar{n}") for n in familiar]
-    counted = word.join(F.broadcast(ranked), ["language", "word"], "left").groupBy("row").agg(F.count("*").alias("words"), *known)
-    out = df.select("row", "doc_id", "language", "sentences").join(counted, "row", "left").fillna(0, ["words"])
-    share = F.array(*[F.try_divide(F.col("words") - F.col(f"familiar{n}"), F.col("words")) for n in familiar])
-    return out.select("doc_id", "language", "words", "sentences", share.alias("unfamiliar"), F.try_divide("words", "sentences").alias("wordspersentence"))
+    # At most max(familiar) words for each of two languages: bounded, whatever the corpus.
+    top = lambda language: [r.word for r in frequency.filter(F.col("language") == language).orderBy(F.desc("df"), "word").limit(max(familiar)).collect()]
+    lists = {language: top(language) for language in ("pt", "en")}
+    # Words of a document are looked up in the steps between two lengths, so each is looked up in every list once.
+    steps = list(zip((0, *familiar), familiar, strict=False))
+    in_step = lambda words: among(words) if words else F.lit(0)
+    counts = F.when(F.col("language") == "pt", F.array(*[in_step(lists["pt"][a:b]) for a, b in steps])).otherwise(F.array(*[in_step(lists["en"][a:b]) for a, b in steps]))
+    df = df.select("doc_id", "language", F.size("w").cast("long").alias("words"), "sentences", counts.alias("known"))
+    known = lambda n: F.aggregate(F.slice("known", 1, n), F.lit(0), lambda a, x: a + x)
+    share = F.array(*[F.try_divide(F.col("words") - known(n + 1), F.col("words")) for n in range(len(familiar))])
+    return df.select("doc_id", "language", "words", "sentences", share.alias("unfamiliar"), F.try_divide("words", "sentences").alias("wordspersentence"))
 
 
 def fit(measured: DataFrame, grades: DataFrame, label: str = "readinglevel", familiar: tuple[int, ...] = FAMILIAR) -> tuple[int, list[float]]:
