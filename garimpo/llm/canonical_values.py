@@ -28,27 +28,26 @@ AFTER = r"( -)?[ (-]+(loja oficial|oficial|tech br|tech|do brasil|brasil|inc|ltd
 BROADCAST_NAMES = 10_000
 
 #: Edits allowed for a reference form of a given length: (least length, edits), longest first.
-EDITS = ((10, 4), (6, 3), (4, 1), (0, 0))
+EDITS = ((10, 4), (8, 3), (6, 2), (4, 1), (0, 0))
 
 
 def edits_sql(length: str) -> str:
     return "CASE " + " ".join(f"WHEN {length} >= {n} THEN {k}" for n, k in EDITS) + " END"
 
 
-def bare_sql(value: str, spark: bool = True) -> str:
+def bare_sql(value: str) -> str:
     """SQL for a value without case, accents, look-alikes, invisible characters and what sellers write around a name."""
-    every = "" if spark else ", 'g'"
     x = f"lower({value})"
-    x = f"regexp_replace({x}, '[\u00ad\u2000-\u200f\u2060\ufeff\u2122\u00ae\u00a9\u0300-\u036f]', ''{every})"
+    x = f"regexp_replace({x}, '[\u00ad\u2000-\u200f\u2060\ufeff\u2122\u00ae\u00a9\u0300-\u036f]', '')"
     for old, new in (ACCENTED, LOOKALIKE, LEET):
         x = f"translate({x}, '{old}', '{new}')"
-    x = f"trim(regexp_replace({x}, '[^a-z0-9&().:-]+', ' '{every}))"
+    x = f"trim(regexp_replace({x}, '[^a-z0-9&().:-]+', ' '))"
     x = f"regexp_replace({x}, '^[^a-z0-9]+', '')"
-    before, after = (BEFORE, AFTER) if not spark else (BEFORE.replace("\\", "\\\\"), AFTER.replace("\\", "\\\\"))
+    before, after = BEFORE.replace("\\", "\\\\"), AFTER.replace("\\", "\\\\")
     x = f"regexp_replace({x}, '{before}', '')"
     for _ in range(2):
         x = f"regexp_replace({x}, '{after}', '')"
-    return f"trim(regexp_replace({x}, '[^a-z0-9&]+', ' '{every}))"
+    return f"trim(regexp_replace({x}, '[^a-z0-9&]+', ' '))"
 
 
 _FORMS = """

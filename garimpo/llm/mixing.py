@@ -17,25 +17,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Folder of the public tokenizers; a parameter of every function that counts tokens.
-TOKENIZERS = "/opt/tokenizers"
+#: File of a public tokenizer; the default of the parameter of every function that counts tokens.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Documents that one range of keys holds on average, at most.
 RANGE_ROWS = 100_000
 
 
-def token_counts(documents: DataFrame, text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.json", out: str = "tokens") -> DataFrame:
-    """documents with `text` replaced by its number of tokens (null and empty texts have 0). `path`: a `tokenizers` file."""
+def token_counts(documents: DataFrame, text: str = "text", path: str = TOKENIZER, out: str = "tokens") -> DataFrame:
+    """documents with `text` replaced by its number of tokens (null and empty texts have 0).
+
+    `path`: a `tokenizers` file. Where the driver has it, it is shipped to the executors with the job.
+    """
+    if Path(path).exists():
+        documents.sparkSession.sparkContext.addFile(path)
     rest = [c for c in documents.columns if c != text]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        if not Path(path).exists():
+        shipped = SparkFiles.get(Path(path).name)
+        if not Path(shipped).exists() and not Path(path).exists():
             raise FileNotFoundError(f"tokenizer file {path} is missing on this executor")
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(shipped if Path(shipped).exists() else path)
         tokenizer.encode_special_tokens = True
         for batch in batches:
             counted = [len(e.ids) for k in range(0, len(batch), 256) for e in tokenizer.encode_batch_fast(batch[text].fillna("").iloc[k : k + 256].tolist(), add_special_tokens=False)]

@@ -1,13 +1,26 @@
-"""The queries in SQL, over whole tables, as plain statements of the problems. Problem 3 shares its spelling rules with the operator."""
+"""The queries in SQL, over whole tables, as plain statements of the problems that share nothing with the operators."""
 
 from __future__ import annotations
 
-from garimpo.llm import canonical_values
-
 _ODD = "\u00a0\u200b"
-_BARE = canonical_values.bare_sql("brand", spark=False)
-_NAME = canonical_values.bare_sql("brandname", spark=False)
-_SHORT = canonical_values.bare_sql("shortname", spark=False)
+
+
+def _bare(x: str) -> str:
+    """A brand as written by sellers, down to its letters, digits and single spaces."""
+    x = f"regexp_replace(lower({x}), '[\u00ad\u2000-\u200f\u2060\ufeff\u2122\u00ae\u00a9]', '', 'g')"
+    x = f"translate(strip_accents({x}), 'аеорсухіѕјкмнтвԁ@0341$5', 'aeopcyxisjkmhtbdaoealss')"
+    x = f"regexp_replace(trim(regexp_replace({x}, '[^a-z0-9&().:-]+', ' ', 'g')), '^[^a-z0-9]+', '')"
+    x = f"regexp_replace({x}, '^(linha|marca|fabricante|fab|by|brand)\\b[ .:]*', '')"
+    after = "( -)?[ (-]+(loja oficial|oficial|tech br|tech|do brasil|brasil|inc|ltda|oem|bulk|br|original|sa)[).]*$"
+    x = f"regexp_replace(regexp_replace({x}, '{after}', ''), '{after}', '')"
+    return f"trim(regexp_replace({x}, '[^a-z0-9&]+', ' ', 'g'))"
+
+
+def _edits(form: str) -> str:
+    return f"CASE WHEN length({form}) >= 10 THEN 4 WHEN length({form}) >= 8 THEN 3 WHEN length({form}) >= 6 THEN 2 WHEN length({form}) >= 4 THEN 1 ELSE 0 END"
+
+
+_BARE, _NAME, _SHORT = _bare("brand"), _bare("brandname"), _bare("shortname")
 _MAPPED = rf"""
     WITH v AS (SELECT brand, {_BARE} AS bare FROM (SELECT DISTINCT brand FROM normalized_products WHERE regexp_replace(brand, '[\s{_ODD}]+', '', 'g') <> '')),
     r AS (SELECT brandid, {_NAME} AS bare, {_SHORT} AS short FROM brand_reference),
@@ -15,8 +28,8 @@ _MAPPED = rf"""
     g AS (SELECT *, replace(bare, ' ', '') AS g0, array_to_string(list_sort(string_split(bare, ' ')), '') AS g1 FROM r),
     x AS (SELECT brand, brandid, CASE WHEN f0 = replace(short, ' ', '') AND f0 <> '' THEN -1
                  WHEN f0 = '' THEN NULL
-                 ELSE least(CASE WHEN levenshtein(f0, g0) <= {canonical_values.edits_sql("length(g0)")} THEN levenshtein(f0, g0) END,
-                            CASE WHEN levenshtein(f1, g1) <= {canonical_values.edits_sql("length(g1)")} THEN levenshtein(f1, g1) END) END AS dist
+                 ELSE least(CASE WHEN levenshtein(f0, g0) <= {_edits("g0")} THEN levenshtein(f0, g0) END,
+                            CASE WHEN levenshtein(f1, g1) <= {_edits("g1")} THEN levenshtein(f1, g1) END) END AS dist
           FROM f CROSS JOIN g),
     y AS (SELECT brand, brandid, dist, min(dist) OVER (PARTITION BY brand) AS least FROM x),
     m AS (SELECT brand, CASE WHEN count(*) = 1 THEN min(brandid) ELSE -1 END AS brandid FROM y WHERE dist = least GROUP BY brand)"""

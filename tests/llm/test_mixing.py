@@ -50,7 +50,7 @@ def test_empty(spark, sized, targets):
 
 
 def test_token_counts(spark):
-    path = f"{mixing.TOKENIZERS}/byte_bpe_50k.json"
+    path = mixing.TOKENIZER
     if not Path(path).exists():
         pytest.skip("no tokenizer files here")
     df = spark.createDataFrame([(1, "olá mundo"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id bigint, text string").withColumn("tokens2", F.lit(1))
