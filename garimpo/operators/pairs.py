@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimpo.operators.compare import CAPACITY_TOLERANCE, INPUTS, WARRANTY, capacity_ratio, compare, normal_brand
@@ -77,12 +77,20 @@ def matching(devices: DataFrame, order: str, keep: list[str]) -> DataFrame:
 def offer_pairs(devices: DataFrame, order: str) -> DataFrame:
     """Greedy offers: (first, second, verdict, confidence), each device in at most one row; `second` is null for leftovers.
 
-    Matches are taken in the order of (first, second) while neither side is taken. Matches never cross a normal brand, so
-    each brand is settled on its own; what is settled there are matches of distinct devices, not rows.
+    Matches are taken in the order of (first, second) while neither side is taken. Matches never cross a normal brand, nor
+    a gap between capacities wider than the tolerance, so each brand and range of capacities is settled on its own; what
+    is settled there are matches of distinct devices, not rows.
     """
     import pandas as pd
 
-    m = matching(devices, order, ["brand"]).select(normal_brand(F.col("l_brand")).alias("brand"), F.col(f"l_{order}").alias("first"), F.col(f"r_{order}").alias("second"), "verdict", "confidence")
+    m = matching(devices, order, ["brand", "capacityGB"])
+    m = m.select(normal_brand(F.col("l_brand")).alias("brand"), F.col("l_capacityGB").alias("gb"), F.col(f"l_{order}").alias("first"), F.col(f"r_{order}").alias("second"), "verdict", "confidence")
+    # Different capacities are few; a range starts where the one before is out of tolerance.
+    sizes = devices.filter(F.col("capacityGB") > 0).select(normal_brand(F.col("brand")).alias("b"), F.col("capacityGB").alias("g")).distinct()
+    by_size = Window.partitionBy("b").orderBy("g")
+    apart = F.coalesce(capacity_ratio(F.col("g"), F.lag("g").over(by_size)) > CAPACITY_TOLERANCE, F.lit(True))
+    ranges = sizes.withColumn("start", apart.cast("int")).withColumn("range", F.sum("start").over(by_size.rowsBetween(Window.unboundedPreceding, 0))).select("b", "g", "range")
+    m = m.join(ranges, F.col("brand").eqNullSafe(F.col("b")) & (F.col("gb") == F.col("g")), "left").select("brand", F.coalesce("range", F.lit(-1)).alias("range"), "first", "second", "verdict", "confidence")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set = set()
@@ -94,7 +102,7 @@ def offer_pairs(devices: DataFrame, order: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["first", "second", "verdict", "confidence"])
 
     kind = dict(devices.dtypes)[order]
-    taken = m.groupBy("brand").applyInPandas(greedy, f"first {kind}, second {kind}, verdict string, confidence double")
+    taken = m.groupBy("brand", "range").applyInPandas(greedy, f"first {kind}, second {kind}, verdict string, confidence double")
     used = taken.select(F.explode(F.array("first", "second")).alias(order))
     alone = devices.join(used, order, "left_anti").select(F.col(order).alias("first"), F.lit(None).cast(kind).alias("second"), F.lit("UNKNOWN").alias("verdict"), F.lit(0.5).alias("confidence"))
     return taken.unionByName(alone)

@@ -7,6 +7,7 @@ provider, so a read of one shop lists only its files; other lookups are pruned b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,7 @@ def with_products(searches: DataFrame, raw: DataFrame, normalized: DataFrame, ke
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(searches, raw, normalized, products): numbers of rows; products is raw and normalized together."""
-    n = lambda name, out: tables[name].agg(F.count("*").alias(out))
-    df = n("searches", "searches").crossJoin(n("raw_products", "raw")).crossJoin(n("normalized_products", "normalized"))
+    names = {"searches": "searches", "raw_products": "raw", "normalized_products": "normalized"}
+    rows = reduce(DataFrame.unionAll, [tables[name].select(F.lit(out).alias("t")) for name, out in names.items()])
+    df = rows.agg(*[F.count_if(F.col("t") == out).alias(out) for out in names.values()])
     return df.withColumn("products", F.col("raw") + F.col("normalized"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,18 @@ def test_offers_on_normalized_rows(spark):
     df = spark.createDataFrame([(1, "Samsung", "870"), (2, "Samsung", "990"), (3, "Kingston", "A400")], "ord int, brand string, model string")
     got = sorted((r.first, r.second) for r in pairs.offer_pairs(pairs.without_facts(df), "ord").collect())
     assert got == [(1, 2), (3, None)]
+
+
+def test_offers_are_settled_by_brand_and_capacity_range(spark):
+    """The same as taking all matches in one list: ranges of capacities are cut where no match can cross."""
+    r = random.Random(4)
+    data = [(i, r.choice(["Samsung", "WD", None]), r.choice(["870", "990", None]), r.choice([480, 500, 512, 530, 960, 1000, None])) for i in range(60)]
+    df = pairs.without_facts(spark.createDataFrame(data, "ord int, brand string, model string, gb int")).withColumn("capacityGB", F.col("gb"))
+    matches = sorted((x.l_ord, x.r_ord) for x in pairs.matching(df, "ord", []).collect())
+    taken, want = set(), []
+    for a, b in matches:
+        if not {a, b} & taken:
+            taken |= {a, b}
+            want.append((a, b))
+    got = sorted((x.first, x.second) for x in pairs.offer_pairs(df, "ord").collect() if x.second is not None)
+    assert want and got == want
