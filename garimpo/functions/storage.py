@@ -36,16 +36,16 @@ def _first(*cases: tuple[Column, object], otherwise: object = None) -> Column:
     return out
 
 
-def canonical(df: DataFrame, title: str = "title") -> DataFrame:
+def canonical(df: DataFrame, title: str = "title", *, brands: tuple = BRANDS, models: tuple = MODELS, number_families: tuple = NUMBER_FAMILIES) -> DataFrame:
     """df with the columns of FACTS and a struct `confidence` (CONFIDENCES and `overall`).
 
-    A null or empty title has no facts and null confidences. df's own columns of the same names are replaced. Facts that
+    A null or empty title has no facts and null confidences. `brands`, `models` and `number_families` take the place of the tables above. df's own columns of the same names are replaced. Facts that
     others depend on are computed in a step of their own, so each pattern is evaluated once.
     """
     t = plain_spaces(F.col(title))
     some = filled(F.col(title)).isNotNull()
-    brand = _first(*[(has(t, rf"(?i)\b{name}\b"), value) for name, value in BRANDS])
-    hits = F.coalesce(*[F.when(has(t, p), F.struct(found(t, p, m).alias("model"), F.upper(found(t, p, f)).alias("family"), F.lit(k).alias("k"))) for k, (p, m, f) in enumerate(MODELS)])
+    brand = _first(*[(has(t, rf"(?i)\b{name}\b"), value) for name, value in brands])
+    hits = F.coalesce(*[F.when(has(t, p), F.struct(found(t, p, m).alias("model"), F.upper(found(t, p, f)).alias("family"), F.lit(k).alias("k"))) for k, (p, m, f) in enumerate(models)])
     tb, gb, g = found(t, r"(?i)\b(\d+\.?\d*)\s*TB\b"), found(t, r"(?i)\b(\d+\.?\d*)\s*GB\b"), found(t, r"(?i)\b(\d{3,4})G\b")
     near = lambda x: F.floor(x.try_cast("double") + F.lit(0.5)).cast("int")
     interface = _first(
@@ -61,7 +61,7 @@ def canonical(df: DataFrame, title: str = "title") -> DataFrame:
         "__sku3": found(t, r"\b([A-Z]{2}\d{3,5}[A-Z]{2,4})\b"), "__short": has(t, r"(?i)\b(A\d{3}|M[XP]\d{3})\b"),
     })
     known = F.col("interface")
-    family = F.when((F.col("__model.k") < len(MODELS) - 1) | F.col("__model.family").isin(*NUMBER_FAMILIES), F.col("__model.family"))
+    family = F.when((F.col("__model.k") < len(models) - 1) | F.col("__model.family").isin(*number_families), F.col("__model.family"))
     df = df.withColumns({
         "model": F.col("__model.model"), "family": family,
         "capacityGB": F.coalesce(F.floor(F.col("__tb").try_cast("double") * 1000 + F.lit(0.5)).cast("int"), near(F.col("__gb")), near(F.col("__g"))),

@@ -66,7 +66,12 @@ def normalized(df: DataFrame) -> DataFrame:
 
 
 def canonical(df: DataFrame, *, from_original: bool = False) -> DataFrame:
-    """Normalized rows with the facts of `storage.canonical`; rows without a title have none (they don't fail the search)."""
+    """Normalized rows with the facts of `storage.canonical`; rows without a title have none (they don't fail the search).
+
+    Rows that have all facts already are passed through.
+    """
+    if set(storage.FACTS) <= set(df.columns):
+        return df
     first, second = ("original_title", "normalized_title") if from_original else ("normalized_title", "original_title")
     df = df.withColumn("__title", F.coalesce(filled(F.col(first)), filled(F.col(second))))
     return storage.canonical(df.drop("model", "confidence"), "__title").drop("__title")

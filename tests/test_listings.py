@@ -198,3 +198,8 @@ def test_offers_are_settled_by_brand_and_capacity_range(spark):
             want.append((a, b))
     got = sorted((x.first, x.second) for x in pairs.offer_pairs(df, "ord").collect() if x.second is not None)
     assert want and got == want
+
+
+def test_alias_tables_are_parameters(spark):
+    df = spark.createDataFrame([("1", "SSD Acme 870 EVO 500GB")], "id string, title string")
+    assert storage.canonical(df).first().brand is None and storage.canonical(df, brands=(*storage.BRANDS, ("acme", "ACME"))).first().brand == "ACME"
