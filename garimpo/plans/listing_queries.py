@@ -12,6 +12,7 @@ from garimpo.functions import failures, prices, relevance, storage, titles, urls
 from garimpo.operators import compare, dedup, pairs, statistics
 from garimpo.plans import connectors, pipeline
 from garimpo.plans.listing_sql import build
+from garimpo.session import cut
 from garimpo.sources import pages, store
 from garimpo.sources.listings import listings
 from garimpo.sources.tables import table
@@ -89,16 +90,18 @@ def _catalogue(spark: SparkSession) -> DataFrame:
     return storage.canonical(_texts(spark, CATALOGUE, "item int, title string"))
 
 
-def _against_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Every listing with every catalogue row; equal devices are compared once and joined back."""
-    devices = _devices(spark, d)
+def _against_catalogue(spark: SparkSession, d: str, devices: DataFrame | None = None) -> DataFrame:
+    """Every different device with every catalogue row."""
+    devices = _devices(spark, d) if devices is None else devices
     distinct = pairs.distinct_devices(devices, "listing_id").withColumn("item", F.col("first"))
     return pairs.against(distinct, _catalogue(spark), ["item"])
 
 
 def compare_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    judged = _against_catalogue(spark, d)
-    devices = _devices(spark, d).select("listing_id", F.struct(*compare.INPUTS).alias("l"))
+    """Every listing with every catalogue row; equal devices are compared once and joined back."""
+    devices = cut(_devices(spark, d))  # read once for the comparison and once to join back
+    judged = _against_catalogue(spark, d, devices)
+    devices = devices.select("listing_id", F.struct(*compare.INPUTS).alias("l"))
     same = reduce(lambda a, b: a & b, [F.col(f"a.l.{c}").eqNullSafe(F.col(f"b.l.{c}")) for c in compare.INPUTS])
     fields = [F.col(f"b.status.{f}").alias(f"is_{f}") for f in compare.FIELDS]
     return devices.alias("a").join(judged.alias("b"), same).select("a.listing_id", F.col("b.r_item").alias("item"), "b.verdict", "b.confidence", *fields)
