@@ -30,14 +30,18 @@ def without_facts(normalized: DataFrame) -> DataFrame:
     return normalized.withColumns(none)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether df may be broadcast by its rows, which are counted up to BROADCAST_ROWS: the size of files says little of them."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def against(devices: DataFrame, catalogue: DataFrame, keep: list[str]) -> DataFrame:
     """Every device with every row of `catalogue`, judged. `keep` names columns of both to carry, as l_... and r_....
 
     The catalogue is broadcast if it has at most BROADCAST_ROWS rows (it is counted first); else Spark plans the product.
     """
     right = _side(catalogue, "r", keep)
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return compare(_side(devices, "l", keep).crossJoin(F.broadcast(right) if small else right))
+    return compare(_side(devices, "l", keep).crossJoin(F.broadcast(right) if is_small(right) else right))
 
 
 def each_with_each(devices: DataFrame, order: str, keep: list[str]) -> DataFrame:
